@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +19,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 
-#: Rows that Spark puts into one Arrow batch for Python; with texts of some 100 KB that is still tens of MB.
-ROWS_A_BATCH = 512
+#: Rows that Spark puts into one Arrow batch for Python; with texts of some 100 KB that is still some MB.
+ROWS_A_BATCH = 64
 
 #: Bytes of text that a Python worker handles at once.
 BYTES_A_SLICE = 4 << 20
@@ -26,9 +29,26 @@ BYTES_A_SLICE = 4 << 20
 BROADCAST_BYTES = 8 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that their Python finds it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        top = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for x in sorted(top.rglob("*.py")):
+                out.write(x, x.relative_to(top.parent))
+        context.addPyFile(str(path))
+
+
 def session(spark: SparkSession) -> SparkSession:
     """Bounds the Arrow batches of the session by rows, as long texts make rows large, and lets a finished job's shuffle files go."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
     return spark
 
@@ -87,17 +107,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BYTES_A_SLICE) -> Iterator[pa.RecordBatch]:
-    """Batches cut by rows so that each holds at most about `most` bytes of the column, or one row."""
+    """The rows of the batches in batches of about `most` bytes of the column, or of one row that has more."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
         at = 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
-            yield batch.slice(at, to - at)
+            to = max(at + (not held), int(np.searchsorted(ends, done + most - size, side="right")))
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size += int(ends[to - 1] - done)
+            if to < batch.num_rows or size >= most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
             at = to
+    if held:
+        yield pa.concat_batches(held)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,10 @@ from .common import pick, saved, session, slices
 from .tokens import encoder, with_end
 
 #: Bins that stay open in one group of pieces.
-OPEN_BINS = 1024
+OPEN_BINS = 8192
+
+#: Pieces that are looked at together and placed from the longest to the shortest.
+AHEAD = 4096
 
 #: Pieces that one task packs; each group closes its last bins unfilled, so groups are large.
 GROUP_PIECES = 200_000
@@ -58,6 +62,18 @@ class Packer:
         return at, self.size - f
 
 
+def windows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of small batches in batches of at least so many, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each row's ids with the end id; rows longer than size are cut, and the first piece takes what is left over."""
 
@@ -92,7 +108,8 @@ def pack(cut: DataFrame, size: int, open_bins: int = OPEN_BINS, group: int = GRO
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, base = Packer(size, open_bins), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in windows(batches, AHEAD):
+            batch = batch.take(pc.sort_indices(batch, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
             placed = [packer.place(n) for n in batch.column("length").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([2 * (base + b) + 1 for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],

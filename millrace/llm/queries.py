@@ -8,7 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import new_path, table
+from . import huffman
 from .packing import best_fit
 from .token_count import token_counts
 
@@ -22,6 +23,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "ids")
+    huffman.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return huffman.read(spark, path, with_ids=False)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
