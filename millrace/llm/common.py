@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -78,6 +79,16 @@ def delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Larger Arrow batches for what is run inside: rows of a few numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+
+
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder, read again: lost executors cost no recomputation of what is before it."""
     spark = df.sparkSession
@@ -89,7 +100,7 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of the files that a saved table lies in."""
     plan = df._jdf.queryExecution().optimizedPlan()
-    return int(plan.stats().sizeInBytes().toString())
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def small(df: DataFrame) -> DataFrame:
