@@ -30,7 +30,7 @@ MOST_GRAMS = 1_000_000
 SHARPNESS = (1, 2, 4, 8, 16, 32, 64, 128)
 
 #: A text is rejected if its cross-entropy is so many standard deviations and nats above what its language's training rows have, and has so many letters.
-REJECT_SD, REJECT_NATS, REJECT_LETTERS = 8.0, 0.5, 40
+REJECT_SD, REJECT_NATS, REJECT_LETTERS = 8.0, 1.25, 60
 
 
 def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:

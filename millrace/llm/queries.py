@@ -12,6 +12,7 @@ from .common import new_path, table
 from . import huffman, language, line_dedup, secret_scan
 from .packing import best_fit
 from .token_count import token_counts
+from .toxicity import toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +30,10 @@ def op1_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(spark, path, with_ids=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
