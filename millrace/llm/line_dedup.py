@@ -30,8 +30,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def lines(rows: DataFrame, least_length: int) -> DataFrame:
     """A row for each line whose key is long enough: 128 bits of the key's hash, the document, the place."""
-    cut = rows.select("doc", "row", F.split("text", "\n", -1).alias("all"))
-    each = cut.select("doc", "row", F.size("all").alias("n_lines"), F.posexplode("all").alias("pos", "line"))
+    cut = rows.select("doc", "row", F.split("text", "\n", -1).alias("all")).select("doc", "row", F.size("all").alias("n_lines"), "all")
+    each = cut.select("doc", "row", "n_lines", F.posexplode_outer("all").alias("pos", "line"))
     key = each.withColumn("line", F.btrim("line", F.lit(BLANK))).where(F.char_length("line") >= least_length).withColumn("line", ascii_lower(F.col("line")))
     return key.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc", "row", "pos", "n_lines")
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_path, table
-from . import huffman, language, line_dedup, secret_scan
+from . import decontaminate, huffman, language, line_dedup, secret_scan
 from .packing import best_fit
 from .token_count import token_counts
 from .toxicity import toxicity
@@ -30,6 +30,10 @@ def op1_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(spark, path, with_ids=False)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: Statements of the queries that SQL can express.
-ORACLE: dict[str, str] = {"op7_line_dedup": line_dedup.SQL}
+ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.SQL, "op7_line_dedup": line_dedup.SQL}
