@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_path, table
-from . import decontaminate, huffman, language, line_dedup, secret_scan
+from . import decontaminate, huffman, language, line_dedup, ngram_join, secret_scan
 from .packing import best_fit
 from .token_count import token_counts
 from .toxicity import toxicity
@@ -46,6 +46,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
