@@ -11,11 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_a_batch, saved, session, slices, small
+from .common import most_frequent, saved, session, slices, small
 from .words import held_out, letter_words
 
 #: Bounds of the model, which is broadcast: words that have a number of their own, and pairs whose ratio differs from what their words say. Counts are over all training rows; rarer words share one number.
-MOST_WORDS, MOST_PAIRS = 1 << 16, 1 << 20
+MOST_WORDS, MOST_PAIRS = 1 << 16, 1 << 18
 
 #: Bound of the scored training rows to which the logistic curve is fitted.
 FIT_ROWS = 20_000
@@ -129,11 +129,10 @@ def learn(rows: DataFrame, most_words: int = MOST_WORDS, most_pairs: int = MOST_
     follows, in either class. A pair backs off to the class's word, a word to the shared count; rare words are counted
     and scored by their stems.
     """
-    n = F.col("toxic") + F.col("ordinary")
-    words = saved(word_counts(rows).where((n >= LEAST_DOCS) | F.col("word").endswith("*") & (n > 1)), "words").orderBy(F.desc(n), "word").limit(most_words - 1).toPandas()
+    words = word_counts(rows).withColumn("n", F.col("toxic") + F.col("ordinary")).where((F.col("n") >= LEAST_DOCS) | F.col("word").endswith("*") & (F.col("n") > 1))
+    words = most_frequent(saved(words, "words"), "n", most_words - 1).toPandas().sort_values("word")
     listed = pa.array(words["word"], pa.string())
-    with rows_a_batch(rows.sparkSession, 64):
-        pairs = saved(pair_counts(rows, listed), "pairs", "lz4")
+    pairs = saved(pair_counts(rows, listed), "pairs", "lz4")
     size = len(words) + 1
     before, after = F.shiftright("pair", 16), F.col("pair").bitwiseAND(0xFFFF)
     # tables of a row for each listed word at most
@@ -155,7 +154,8 @@ def learn(rows: DataFrame, most_words: int = MOST_WORDS, most_pairs: int = MOST_
     word, back = np.log(own["toxic"] / own["ordinary"]), np.log(left["toxic"] / left["ordinary"])
     word[0] = 0
     # pairs that few documents hold have nothing left after the discount, and back off
-    some = pairs.where((kept["toxic"] > 0) | (kept["ordinary"] > 0)).orderBy(F.desc(n), "pair").limit(most_pairs).toPandas().sort_values("pair")
+    some = pairs.where((kept["toxic"] > 0) | (kept["ordinary"] > 0)).withColumn("n", F.col("toxic") + F.col("ordinary"))
+    some = most_frequent(some, "n", most_pairs).toPandas().sort_values("pair")
     pair = some["pair"].to_numpy(np.int64)
     v, w = pair >> 16, pair & 0xFFFF
     p = {k: discounted(some[k].to_numpy(np.float64)) / totals[k][v] + left[k][v] * own[k][w] for k in kept}
