@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, session, slices
+from .common import most_frequent, saved, session, slices
 from .words import held_out, letter_words
 
 #: Characters of an n-gram. A character is its code point's low 15 bits, so a whole n-gram is one integer.
@@ -125,7 +125,7 @@ def learn(rows: DataFrame, most: int = MOST_GRAMS) -> dict[str, Model]:
     for name, n in sorted((r["lang"], r["count"]) for r in size):
         own = counts.where(F.col("lang") == name).select("code", "n")
         if n > most:
-            own = own.orderBy(F.desc("n"), "code").limit(most)
+            own = most_frequent(own, "n", most)
         own = own.toPandas().sort_values("code")
         out[name] = Model.of(own["code"].to_numpy(), own["n"].to_numpy())
     return out
