@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, rows_a_batch, saved, session, slices, small
+from .common import mixed, pick, rows_a_batch, saved, session, slices, small
 from .components import components
 
 #: Words of an n-gram; the similarity from which on documents are linked, as a fraction.
@@ -43,13 +43,6 @@ def bands_and_rows(similar: float, recall: float = RECALL, most: int = MOST_HASH
     raise ValueError("no bands reach that recall")
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads 64 bits over 64 bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def gram_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its n-grams. A text of fewer words has one n-gram of them all, one of none has none."""
     cut = pc.split_pattern_regex(pc.ascii_lower(texts.fill_null("")), GAP)

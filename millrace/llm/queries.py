@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_path, table
-from . import decontaminate, huffman, language, line_dedup, ngram_join, secret_scan
+from . import decontaminate, hnsw, huffman, language, line_dedup, ngram_join, secret_scan
 from .packing import best_fit
 from .token_count import token_counts
 from .toxicity import toxicity
@@ -62,6 +62,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     here = sys.modules[__name__]
     return {k: getattr(here, k) for k in sorted(vars(here), key=lambda k: (len(k.split("_")[0]), k)) if k.startswith("op") and k[2:3].isdigit()}
