@@ -37,7 +37,7 @@ def prefixes(windows: DataFrame, texts: DataFrame) -> DataFrame:
     listed = saved(listed, "listed")
     often = texts.select(F.explode_outer(words(F.col("text"))).alias("word")).join(small(listed), "word").groupBy("word").agg(F.count("*").alias("n"))
     often = saved(often, "often")
-    each = windows.select(F.monotonically_increasing_id().alias("window"), F.size("shingle").alias("size"), F.posexplode("shingle").alias("at", "word"))
+    each = windows.select("window", F.size("shingle").alias("size"), F.posexplode("shingle").alias("at", "word"))
     rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")
     first = each.join(small(often), "word", "left").groupBy("window").agg(F.min(rank).alias("first"), F.first("size").alias("size"))
     return first.select("first.word", "first.at", "size").distinct()
@@ -46,7 +46,7 @@ def prefixes(windows: DataFrame, texts: DataFrame) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """The rows of docs as (doc_id, row, n_words), and (doc_id, row, start, end, items) of each occurrence of a window."""
     texts = docs.withColumn("row", F.xxhash64("text"))
-    windows = saved(benchmark, "windows")
+    windows = saved(benchmark.withColumn("window", F.monotonically_increasing_id()), "windows")
     wanted = saved(prefixes(windows, texts), "prefixes")
     # the number of words is taken before the words are dealt out, so that no row carries them all; outer, as Spark would else split each text once more to see if it has words
     place = texts.select("doc_id", "row", words(F.col("text")).alias("w")).select("doc_id", "row", F.size("w").alias("n_words"), "w")
@@ -60,7 +60,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, D
     own = own.select("t.doc_id", "t.row", "starts", words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "row"])
     shingles = F.transform("starts", lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["size"]).alias("end"), F.slice("w", x["start"] + 1, x["size"]).alias("shingle")))
     each = own.select("doc_id", "row", F.explode(shingles).alias("x")).select("doc_id", "row", "x.*")
-    return texts.select("doc_id", "row", F.size(words(F.col("text"))).alias("n_words")), each.join(small(windows), "shingle").select("doc_id", "row", "start", "end", "items")
+    return texts.select("doc_id", "row", F.size(words(F.col("text"))).alias("n_words")), each.join(small(windows.select("shingle", "items")), "shingle").select("doc_id", "row", "start", "end", "items")
 
 
 def covered(spans: Column) -> Column:
@@ -95,6 +95,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that hold no window of the benchmark, with all their columns."""
+    session(docs.sparkSession)
+    found = hits(pick(docs, id_col, text_col), item_windows(benchmark, size, item_col, item_text_col), size)[1]
+    gone = saved(found.select("doc_id", "row").distinct(), "contaminated")
+    same = docs[id_col].eqNullSafe(gone["doc_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["row"])
+    return docs.join(small(gone), same, "left_anti")
+
+
 #: The same by SQL.
 SQL = rf"""
 with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^{GAP[1:]}') as w from documents),
