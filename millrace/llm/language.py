@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, saved, session, slices
+from .common import most_frequent, saved, session, slices, small
 from .words import held_out, letter_words
 
 #: Characters of an n-gram. A character is its code point's low 15 bits, so a whole n-gram is one integer.
@@ -165,7 +165,7 @@ def likeliness(entropies: Column, sharpness: float) -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, cross_entropy, rejected) of each row.
+    """(doc_id, held_out, lang_pred, score, cross_entropy, rejected, text_hash) of each row.
 
     A model for each language is learned from the texts of all rows that aren't held out and have a language; none of
     language, id and other columns is an input of a prediction. The language of the lowest length-normalised
@@ -175,7 +175,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     and scored row by row; an empty table gives an empty result.
     """
     spark = session(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).withColumn("held_out", held_out(F.col("doc_id")))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
+    rows = rows.withColumns({"held_out": held_out(F.col("doc_id")), "text_hash": F.xxhash64("text")})
     models = learn(rows.where("not held_out and lang is not null and text is not null"))
     names = F.array(*[F.lit(x) for x in models]) if models else F.array().cast("array<string>")
     own = rows.withColumn("place", F.when(~F.col("held_out"), F.array_position(names, F.col("lang")).cast("int"))).drop("lang")
@@ -198,4 +199,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.when(F.col("letters"), likeliness(F.col("entropies"), sharp)).otherwise(0.0).alias("score"),
         F.when(F.col("letters"), F.col("low")).alias("cross_entropy"),
         (~F.col("letters") | (F.col("n_letters") >= REJECT_LETTERS) & (F.col("low") > limit)).alias("rejected"),
+        "text_hash",
     )
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that aren't rejected, with all their columns."""
+    gone = saved(identify(docs, id_col, text_col, lang_col).where("rejected").select("doc_id", "text_hash").distinct(), "rejected")
+    same = docs[id_col].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs[text_col]) == gone["text_hash"])
+    return docs.join(small(gone), same, "left_anti")
