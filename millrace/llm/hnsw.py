@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mixed, rows_a_batch, saved, session, small
+from .common import mapped, mixed, rows_a_batch, saved, session, small
 
 #: Links of a node in the upper layers; the lowest has twice as many.
 LINKS = 16
@@ -214,7 +214,7 @@ def build(vectors: DataFrame, shards: int) -> DataFrame:
     rows = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "vec_id").select("shard", "vec_id", "v")
     with rows_a_batch(vectors.sparkSession, 4096):
-        return saved(rows.mapInArrow(make, "shard int, ids binary, vectors binary, links array<binary>"), "graphs")
+        return saved(mapped(rows, make, "shard int, ids binary, vectors binary, links array<binary>"), "graphs")
 
 
 def searched(index: DataFrame, queries: DataFrame, shards: int, k: int, ef: int) -> DataFrame:
@@ -261,7 +261,7 @@ def searched(index: DataFrame, queries: DataFrame, shards: int, k: int, ef: int)
     none = F.lit(None)
     graphs = index.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("vec_id"), none.cast("array<float>").alias("v"), "ids", "vectors", "links")
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v", none.cast("binary").alias("ids"), none.cast("binary").alias("vectors"), none.cast("array<binary>").alias("links"))
-    return graphs.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id").mapInArrow(run, "query_id long, vec_id long, score double")
+    return mapped(graphs.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id"), run, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, ef: int = EF_SEARCH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

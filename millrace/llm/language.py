@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, saved, session, slices, small
+from .common import mapped, most_frequent, saved, session, slices, small
 from .words import held_out, letter_words
 
 #: Characters of an n-gram. A character is its code point's low 15 bits, so a whole n-gram is one integer.
@@ -114,7 +114,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         for name, (keys, n) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "code", "n"])
 
-    return rows.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return mapped(rows.select("text", "lang"), count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def learn(rows: DataFrame, most: int = MOST_GRAMS) -> dict[str, Model]:
@@ -155,7 +155,7 @@ def cross_entropies(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in others), letters, entropies], names=[*others, "n_letters", "entropies"])
 
     kinds = {x.name: x.dataType.simpleString() for x in docs.schema}
-    return docs.select(*others, "text").mapInArrow(score, ", ".join([f"`{x}` {kinds[x]}" for x in others] + ["n_letters long", "entropies array<double>"]))
+    return mapped(docs.select(*others, "text"), score, ", ".join([f"`{x}` {kinds[x]}" for x in others] + ["n_letters long", "entropies array<double>"]))
 
 
 def likeliness(entropies: Column, sharpness: float) -> Column:

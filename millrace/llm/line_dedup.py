@@ -13,8 +13,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BLANK, ascii_lower, pick, rows_a_batch, saved, session, slices, small
+from .common import BLANK, ascii_lower, mapped, pick, rows_a_batch, saved, session, slices, small
 
 #: A line counts if its key has so many code points at least, and is dropped if so many documents hold it at least.
 LEAST_LENGTH, LEAST_DOCS = 40, 5
@@ -63,7 +64,7 @@ def runs(sorted_lines: DataFrame, least_docs: int) -> DataFrame:
         columns = [pa.array(np.full(len(ends), True)), pa.array(np.full(len(ends), part, np.int32)), pa.array(h1[first[ends]]), pa.array(h2[first[ends]]), zero, zero, zero.cast(pa.int32()), zero.cast(pa.int32()), pa.array(n_docs[ends]), pa.array(doc[first[ends]]), pa.array(high[ends])]
         yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RUNS.split(", ")])
 
-    return sorted_lines.mapInArrow(stream, RUNS)
+    return mapped(sorted_lines, stream, RUNS)
 
 
 def keep_bitmaps(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +99,7 @@ def keep_bitmaps(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs:
             yield pa.RecordBatch.from_arrays([*batch.select(["doc", "row", "n_lines"]).columns, pa.array(out, pa.binary())], names=["doc", "row", "n_lines", "keep"])
 
     each = drops.groupBy("doc", "row").agg(F.first("n_lines").alias("n_lines"), F.collect_set("pos").alias("places"))
-    return each.mapInArrow(bits, "doc long, row long, n_lines int, keep binary")
+    return mapped(each, bits, "doc long, row long, n_lines int, keep binary")
 
 
 def kept_lines(text: str, keep: bytes | None) -> tuple[list[str], int]:
@@ -136,7 +137,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sums)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     bitmaps = saved(keep_bitmaps(docs, id_col=id_col, text_col=text_col), "bitmaps")
-    return with_bitmaps(docs, bitmaps, id_col, text_col).mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return mapped(with_bitmaps(docs, bitmaps, id_col, text_col), digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -151,8 +152,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], batch.column("doc_id"), own], names=[*batch.schema.names[: len(others)], "doc_id", "text"])
 
     rows = with_bitmaps(docs.withColumn("\0null", F.col(text_col).isNull()), bitmaps, id_col, text_col, (*others, "\0null")).withColumnRenamed(f"other{len(others)}", "null")
-    kinds = {x.name: x.dataType.simpleString() for x in docs.schema}
-    out = rows.mapInArrow(apply, ", ".join([f"other{i} {kinds[x]}" for i, x in enumerate(others)] + ["doc_id long", "text string"]))
+    kinds = {x.name: x.dataType for x in docs.schema}
+    fields = [T.StructField(f"other{i}", kinds[x]) for i, x in enumerate(others)]
+    out = mapped(rows, apply, T.StructType([*fields, T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
     names = {**{x: f"other{i}" for i, x in enumerate(others)}, id_col: "doc_id", text_col: "text"}
     return out.select(*(F.col(names[x]).cast(kinds[x]).alias(x) for x in docs.columns))
 

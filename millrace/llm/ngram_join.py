@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pick, rows_a_batch, saved, session, slices, small
+from .common import mapped, mixed, pick, rows_a_batch, saved, session, slices, small
 from .components import components
 
 #: Words of an n-gram; the similarity from which on documents are linked, as a fraction.
@@ -101,7 +101,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 names=["doc_id", "n", "key", "sig", "bands"],
             )
 
-    return docs.mapInArrow(make, "doc_id long, n long, key binary, sig binary, bands array<long>")
+    return mapped(docs, make, "doc_id long, n long, key binary, sig binary, bands array<long>")
 
 
 def in_groups(rows: DataFrame, size: int, block: int, *keys: str) -> DataFrame:
@@ -170,21 +170,23 @@ def compare(batches: Iterator[pa.RecordBatch], keys: list[str], similar: Callabl
         size = table.column("size").to_numpy() if counts else None
         nodes, roots, rows, classes, docs = [], [], [], [], []
         for a, b in groups:
-            if b - a < 2:
+            own, at = np.unique(cid[a:b], return_index=True)  # of repeated rows more than one may come
+            if len(own) < 2:
                 continue
-            near = similar(table.slice(a, b - a))
+            at += a
+            near = similar(table.slice(a, b - a) if len(own) == b - a and (np.diff(at) > 0).all() else table.take(at))
             if i[a] != j[a]:
-                near &= side[a:b, None] != side[None, a:b]
+                near &= side[at, None] != side[None, at]
             np.fill_diagonal(near, False)
             for x, r in forest(near):
-                nodes.append(cid[a + x])
-                roots.append(cid[a + r])
+                nodes.append(own[x])
+                roots.append(own[r])
             if counts:
                 linked = near.sum(1)
                 some = np.flatnonzero(linked)
-                rows.append(cid[a:b][some])
+                rows.append(own[some])
                 classes.append(linked[some])
-                docs.append((near[some] @ size[a:b]).astype(np.int64))
+                docs.append((near[some] @ size[at]).astype(np.int64))
         if counts:
             flat = [np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (rows, classes, docs)]
             none = len(flat[0])
@@ -205,7 +207,7 @@ def candidates(classes: DataFrame, hashes: int, size: int) -> DataFrame:
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(table.num_rows, -1)
         return np.concatenate([(sig[k : k + 32, None, :] == sig[None, :, :]).sum(2) >= least for k in range(0, len(sig), 32)])
 
-    return in_groups(members, size, BUCKET_BLOCK, "bucket").mapInArrow(lambda x: compare(x, ["bucket", "i", "j"], alike, False), "u long, v long")
+    return mapped(in_groups(members, size, BUCKET_BLOCK, "bucket"), lambda x: compare(x, ["bucket", "i", "j"], alike, False), "u long, v long")
 
 
 def similar_sets(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> np.ndarray:
@@ -233,15 +235,21 @@ def verified(docs: DataFrame, wanted: DataFrame, words: int, similar: tuple[int,
     """(u, v, classes, docs): links of the wanted classes (cid, doc_id, key, size, comp, members) on their full sets, as a forest with null counts, and each class's counts with a null v."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # a task sends a class once, however often its row is repeated
         for batch in slices(batches):
             own = gram_sets(batch.column("text"), words)
-            right = pa.array([digest(x) == k for x, k in zip(own, batch.column("key").to_pylist(), strict=True)])
+            right = [digest(x) == k for x, k in zip(own, batch.column("key").to_pylist(), strict=True)]
+            for n, cid in enumerate(batch.column("cid").to_pylist()):
+                right[n] = right[n] and cid not in sent
+                if right[n]:
+                    sent.add(cid)
+            right = pa.array(right, pa.bool_())
             columns = [batch.column(x) for x in ("cid", "size", "comp", "members")] + [pa.array([x.tobytes() for x in own], pa.binary())]
             yield pa.RecordBatch.from_arrays([x.filter(right) for x in columns], names=["cid", "size", "comp", "members", "grams"])
 
-    texts = docs.join(small(wanted), "doc_id").mapInArrow(sets, "cid long, size long, comp long, members long, grams binary")
+    texts = mapped(docs.join(small(wanted), "doc_id"), sets, "cid long, size long, comp long, members long, grams binary")
     exact = lambda table: similar_sets([np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], similar)
-    return in_groups(texts, size, GROUP_BLOCK, "comp").mapInArrow(lambda x: compare(x, ["comp", "i", "j"], exact, True), "u long, v long, classes long, docs long")
+    return mapped(in_groups(texts, size, GROUP_BLOCK, "comp"), lambda x: compare(x, ["comp", "i", "j"], exact, True), "u long, v long, classes long, docs long")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:

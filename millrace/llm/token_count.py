@@ -10,13 +10,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import pick, session, slices
+from .common import mapped, pick, session, slices
 
 #: Characters after which a long text is split at the next safe place.
 LONG = 1 << 15
 
-#: A space after neither space nor the mark that stands for one: no piece of the vocabulary reaches over it.
-SAFE = re.compile("(?<=[^ ▁]) ")
+#: A space after neither space nor the mark that stands for one, and not the last character: no piece of the vocabulary reaches over it.
+SAFE = re.compile(r"(?<=[^ ▁]) (?=[\s\S])")
 
 _models: dict[str, object] = {}
 
@@ -67,4 +67,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     session(docs.sparkSession)
-    return pick(docs, id_col, text_col).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(pick(docs, id_col, text_col), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, saved, session, slices, small
+from .common import mapped, most_frequent, saved, session, slices, small
 from .words import held_out, letter_words
 
 #: Bounds of the model, which is broadcast: words that have a number of their own, and pairs whose ratio differs from what their words say. Counts are over all training rows; rarer words share one number.
@@ -103,7 +103,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 word, toxic = seen % (len(names) + 1), marks[seen // (len(names) + 1)]
                 yield pa.RecordBatch.from_arrays([names, *(pa.array(np.bincount(word[toxic == c], minlength=len(names)).astype(np.int64)) for c in (1, 0))], names=["word", "toxic", "ordinary"])
 
-    return rows.select("text", "toxic").mapInArrow(count, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return mapped(rows.select("text", "toxic"), count, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def pair_counts(rows: DataFrame, words: pa.Array) -> DataFrame:
@@ -119,7 +119,7 @@ def pair_counts(rows: DataFrame, words: pa.Array) -> DataFrame:
             pairs, at = np.unique(seen & 0xFFFFFFFF, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs), *(pa.array(np.bincount(at, toxic == k, len(pairs)).astype(np.int64)) for k in (1, 0))], names=["pair", "toxic", "ordinary"])
 
-    return rows.select("text", "toxic").mapInArrow(count, "pair long, toxic long, ordinary long").groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return mapped(rows.select("text", "toxic"), count, "pair long, toxic long, ordinary long").groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def learn(rows: DataFrame, most_words: int = MOST_WORDS, most_pairs: int = MOST_PAIRS) -> Model:
@@ -202,7 +202,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             x = shared.value.features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(x[:, i]) for i in range(len(FEATURES)))], names=["doc_id", "held_out", *FEATURES])
 
-    told = saved(rows.mapInArrow(score, "doc_id long, held_out boolean, " + ", ".join(f"{x} double" for x in FEATURES)), "features")
+    told = saved(mapped(rows, score, "doc_id long, held_out boolean, " + ", ".join(f"{x} double" for x in FEATURES)), "features")
     some = told.where("not held_out and size > 0").join(small(marks), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select(*FEATURES, "toxic").toPandas()
     if some["toxic"].nunique() < 2:
         chance = F.lit(usual)
