@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -91,13 +92,21 @@ def payload(rel: DataFrame, offset: int, position: str = "position") -> DataFram
     return rel.select("key", (F.col(position) + F.lit(offset)).cast("int").alias("val"))
 
 
+def positioned(rel: DataFrame) -> DataFrame:
+    """The rows, in the order of their partitions, with positions from 0: each partition's rows are counted, and the few counts summed."""
+    local = rel.withColumn("__id", F.monotonically_increasing_id())
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    counts = local.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = counts.select("__part", (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__before"))
+    return local.withColumn("__part", part).join(F.broadcast(before), "__part").select((F.col("__before") + place).alias("position"), *rel.columns)
+
+
 def write(rel: DataFrame, path: str, values: bool = False) -> None:
     """Writes key (and val) of a relation with positions 0 to n - 1 as one raw file.
 
     Tasks write blocks of rows beside it and the driver joins them in order, block by block, so it holds one block at a
     time; the format is one file, which only one writer can append to.
     """
-    spark = rel.sparkSession
     system, place = opened(path)
     columns = ["key", "val"] if values else ["key"]
     with system.open_output_stream(place) as out:
@@ -106,4 +115,3 @@ def write(rel: DataFrame, path: str, values: bool = False) -> None:
             packed = ordered.select("x").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([np.asarray(b.column(0)).astype("<i4").tobytes()])], names=["raw"]) for b in batches), "raw binary")
             for row in packed.toLocalIterator():
                 out.write(row["raw"])
-    del spark
