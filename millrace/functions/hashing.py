@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK = 0xFFFFFFFF
@@ -31,6 +31,24 @@ def hash32(key: Column, seed: Column | int) -> Column:
     return h.bitwiseXOR(F.shiftrightunsigned(h, 16))
 
 
+def with_hashes(df: DataFrame, key: str, names: dict[str, int]) -> DataFrame:
+    """df with columns that hold hash32 of the key under seeds; 0 stands for a null key.
+
+    Each step is a projection of its own, which Catalyst keeps apart as it uses the last one twice; as one expression
+    the hash would hold the key sixteen times over, and several of them make code that the JVM won't compile.
+    """
+    df = df.withColumns({x: u32(F.coalesce(F.col(key), F.lit(0))).bitwiseXOR(F.lit(seed).cast("bigint")) for x, seed in names.items()})
+    df = df.withColumns({x: times(F.col(x), FIRST_FACTOR) for x in names})
+    df = df.withColumns({x: F.col(x).bitwiseXOR(F.shiftrightunsigned(x, 13)) for x in names})
+    df = df.withColumns({x: times(F.col(x), SECOND_FACTOR) for x in names})
+    return df.withColumns({x: F.col(x).bitwiseXOR(F.shiftrightunsigned(x, 16)) for x in names})
+
+
+def modulo(x: Column, n: int) -> Column:
+    """x % n of a column that is never null, as one that is never null; else Spark would test each row for it."""
+    return F.coalesce(x % F.lit(n).cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def bucket(key: Column, n: int) -> Column:
     """The unsigned key modulo n; differs from pmod for negative keys."""
     return u32(key) % F.lit(n).cast("bigint")

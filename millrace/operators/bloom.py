@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import MASK, bucket, hash32
+from ..functions.hashing import MASK, bucket, modulo, u32, with_hashes
 from .join import estimated_bytes
 
 #: Bits of a block and of a word.
@@ -42,32 +42,31 @@ class Shape:
         return max(BLOCK, -(-bits // BLOCK) * BLOCK)
 
 
-def seed_hash(key: Column, shape: Shape, i: int) -> Column:
-    """The i-th hash, before it is cut to the layout's range."""
-    if shape.layout in ("blocked_double", "double"):
-        return (hash32(key, 1) + F.lit(i) * hash32(key, 2)).bitwiseAND(F.lit(MASK))
-    return hash32(key, i if shape.layout == "plain" else i + 1)
-
-
-def bit_positions(key: Column, shape: Shape) -> list[Column]:
-    """The bits of a key, counted from its segment's first."""
-    hashes = [seed_hash(key, shape, i) for i in range(shape.hashes)]
-    if shape.layout in ("blocked", "blocked_double"):
-        base = hash32(key, 1) % F.lit(shape.whole // BLOCK) * BLOCK
-        return [base + h % F.lit(BLOCK) for h in hashes]
-    return [h % F.lit(shape.whole) for h in hashes]
-
-
-def segment(key: Column, shape: Shape) -> Column:
-    return bucket(key, shape.segments) if shape.segments else F.lit(0).cast("bigint")
+def with_bits(df: DataFrame, shape: Shape) -> DataFrame:
+    """df with the segment __seg of its key, the block __block if there are any, and its bits __bit0, __bit1, ..., counted from the block's or else the filter's first."""
+    double, blocked = "double" in shape.layout, "blocked" in shape.layout
+    first = 0 if shape.layout == "plain" else 1
+    seeds = {f"__h{i}": i for i in ((1, 2) if double else range(min(first, 1), shape.hashes + first))}
+    df = with_hashes(df, "key", seeds)
+    one = [F.col("__h1") + F.lit(i) * F.col("__h2") if double else F.col(f"__h{i + first}") for i in range(shape.hashes)]
+    if double:
+        one = [x.bitwiseAND(F.lit(MASK)) for x in one]
+    seg = modulo(u32(F.coalesce("key", F.lit(0))), shape.segments) if shape.segments else F.lit(0).cast("bigint")
+    out = {"__seg": seg}
+    if blocked:
+        out["__block"] = modulo(F.col("__h1"), shape.whole // BLOCK)
+    out |= {f"__bit{i}": x.bitwiseAND(F.lit(BLOCK - 1)) if blocked else modulo(x, shape.whole) for i, x in enumerate(one)}
+    return df.withColumns(out).drop(*seeds)
 
 
 def build(r: DataFrame, shape: Shape, *by: str) -> DataFrame:
     """([by,] seg, word, bits): the filter's words that have bits, of R's keys. `by` builds one filter for each slice."""
     if not shape.hashes:
         return r.select(*by, F.lit(0).cast("bigint").alias("seg"), F.lit(0).cast("bigint").alias("word"), F.lit(0).cast("bigint").alias("bits")).limit(0)
-    rows = r.where("key is not null").select(*by, segment(F.col("key"), shape).alias("seg"), F.explode(F.array(*bit_positions(F.col("key"), shape))).alias("bit"))
-    word = rows.select(*by, "seg", F.floor(F.col("bit") / WORD).cast("bigint").alias("word"), F.expr(f"shiftleft(1L, cast(bit % {WORD} as int))").alias("bits"))
+    rows = with_bits(r.where("key is not null").select(*by, "key"), shape)
+    base = F.col("__block") * BLOCK if "blocked" in shape.layout else F.lit(0)
+    rows = rows.select(*by, F.col("__seg").alias("seg"), base.alias("base"), F.explode(F.array(*(f"__bit{i}" for i in range(shape.hashes)))).alias("bit"))
+    word = rows.select(*by, "seg", F.shiftright(F.col("base") + F.col("bit"), 5).alias("word"), F.expr(f"shiftleft(1L, cast(bit & {WORD - 1} as int))").alias("bits"))
     return word.groupBy(*by, "seg", "word").agg(F.bit_or("bits").alias("bits"))
 
 
@@ -100,25 +99,22 @@ def passing(s: DataFrame, words: DataFrame, shape: Shape, flag: str | None = Non
     if not shape.hashes:
         return s.withColumn(flag, F.col("key").isNotNull()) if flag else s.where("key is not null")
     columns = s.columns
-    own = s.withColumn("__seg", segment(F.col("key"), shape))
-    positions = bit_positions(F.col("key"), shape)
-    test = F.lit(True)
-    if shape.layout in ("blocked", "blocked_double"):
-        block = words.groupBy("seg", F.floor(F.col("word") / (BLOCK // WORD)).cast("bigint").alias("block")).agg(*(F.max(F.when(F.col("word") % (BLOCK // WORD) == i, F.col("bits"))).alias(f"w{i}") for i in range(BLOCK // WORD)))
-        block = block.select(F.col("seg").alias("__s"), F.col("block").alias("__b"), F.array(*(F.coalesce(f"w{i}", F.lit(0).cast("bigint")) for i in range(BLOCK // WORD))).alias("__words"))
-        block = F.broadcast(block) if estimated_bytes(words) <= BROADCAST_BYTES else block
-        own = own.withColumn("__block", hash32(F.col("key"), 1) % F.lit(shape.whole // BLOCK))
-        own = own.join(block, (F.col("__seg") == F.col("__s")) & (F.col("__block") == F.col("__b")), "left" if flag else "inner")
-        for x in positions:
-            place = x % F.lit(BLOCK)
-            word = F.get("__words", F.floor(place / WORD).cast("int"))
-            test &= F.call_function("shiftrightunsigned", word, (place % WORD).cast("int")).bitwiseAND(F.lit(1)) == 1
+    own = with_bits(s if flag else s.where("key is not null"), shape)
+    test = F.col("key").isNotNull()
+    has = lambda word, bit: F.call_function("shiftrightunsigned", word, F.col(bit).bitwiseAND(F.lit(WORD - 1)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    few = estimated_bytes(words) <= BROADCAST_BYTES
+    if "blocked" in shape.layout:
+        eight = BLOCK // WORD
+        block = words.groupBy("seg", F.shiftright("word", 3).alias("block")).agg(*(F.max(F.when(F.col("word").bitwiseAND(F.lit(eight - 1)) == i, F.col("bits"))).alias(f"w{i}") for i in range(eight)))
+        block = block.select(F.col("seg").alias("__s"), F.col("block").alias("__b"), F.array(*(F.coalesce(f"w{i}", F.lit(0).cast("bigint")) for i in range(eight))).alias("__words"))
+        own = own.join(F.broadcast(block) if few else block, (F.col("__seg") == F.col("__s")) & (F.col("__block") == F.col("__b")), "left" if flag else "inner")
+        for i in range(shape.hashes):
+            test &= has(F.get("__words", F.shiftright(f"__bit{i}", 5).cast("int")), f"__bit{i}")
     else:
-        for i, x in enumerate(positions):
+        for i in range(shape.hashes):
             side = words.select(F.col("word").alias(f"__x{i}"), F.col("bits").alias(f"__bits{i}"))
-            side = F.broadcast(side) if estimated_bytes(words) <= BROADCAST_BYTES else side
-            own = own.withColumn(f"__p{i}", x).join(side, F.floor(F.col(f"__p{i}") / WORD).cast("bigint") == F.col(f"__x{i}"), "left" if flag else "inner")
-            test &= F.call_function("shiftrightunsigned", F.col(f"__bits{i}"), (F.col(f"__p{i}") % WORD).cast("int")).bitwiseAND(F.lit(1)) == 1
+            own = own.join(F.broadcast(side) if few else side, F.shiftright(f"__bit{i}", 5) == F.col(f"__x{i}"), "left" if flag else "inner")
+            test &= has(F.col(f"__bits{i}"), f"__bit{i}")
     if flag:
         return own.withColumn(flag, F.coalesce(test, F.lit(False))).select(*columns, flag)
     return own.where(test).select(*columns)

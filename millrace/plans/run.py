@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bucket
 from ..operators import bloom, distribute
 from ..operators.join import Strategy, capped, inner_join, match_count
 from .sizing import Options, filter_size, first_level, second_level
@@ -43,17 +42,18 @@ def run(r: DataFrame, s: DataFrame, options: Options = Options()) -> Run:
         shape = bloom.Shape(bits, hashes, segments=first if options.partitioned else 0)
         candidates = bloom.passing(s, bloom.build(r, shape), shape)
     strategy, rebalance = Strategy.AUTO, False
+    gated = options.replicate_ratio > 0
     if options.shuffles(first):
         strategy = Strategy.SHUFFLE_HASH
     elif options.replicate_ratio == 0:
         strategy = Strategy.REPLICATE_R
-    elif options.replicate_ratio > 0:
-        first_chunk = candidates.where(bucket(F.xxhash64("key"), options.chunks) == 0) if options.chunks > 1 else candidates
-        if distribute.replicate_gate(r, first_chunk, options.chunks, options.replicate_ratio).first()["replicate"]:
-            strategy = Strategy.REPLICATE_R
-    if options.rebalances:
+    if options.rebalances or gated:
+        # one pass over the keys of the candidates serves both decisions
         spread = candidates.groupBy(F.spark_partition_id().alias("slice")).agg(F.count("*").alias("n"))
-        rebalance = bool(distribute.skew(spread, options.skew).first()["rebalance"])
+        told = distribute.skew(spread, options.skew).first()
+        rebalance = options.rebalances and bool(told["rebalance"])
+        if gated and rows and told["total"] / rows >= options.replicate_ratio:
+            strategy = Strategy.REPLICATE_R
         if rebalance:
             candidates = distribute.rebalanced(candidates, max(options.slices, r.sparkSession.sparkContext.defaultParallelism))
     pairs = inner_join(r, candidates, strategy)
