@@ -28,19 +28,20 @@ def item_windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) ->
 
 
 def prefixes(windows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(word, at, size): for each window its rarest word in the corpus, with its place in the window.
+    """(word, after, at, size): for each window its rarest word in the corpus that has a next one, that one, and its place in the window; after is null in windows of one word.
 
-    A document that holds a window holds all of its words, so its rarest one is the whole prefix that the join needs.
-    The counts are taken over all documents.
+    A document that holds a window holds all of its words, so the rarest one is the whole prefix that the join needs;
+    the one beside it is the first positional test. The counts are taken over all documents.
     """
     listed = windows.select(F.explode("shingle").alias("word")).distinct()
     listed = saved(listed, "listed")
     often = texts.select(F.explode_outer(words(F.col("text"))).alias("word")).join(small(listed), "word").groupBy("word").agg(F.count("*").alias("n"))
     often = saved(often, "often")
-    each = windows.select("window", F.size("shingle").alias("size"), F.posexplode("shingle").alias("at", "word"))
-    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")
+    each = windows.select("window", F.size("shingle").alias("size"), "shingle").select("window", "size", "shingle", F.posexplode("shingle").alias("at", "word"))
+    each = each.where((F.col("at") < F.col("size") - 1) | (F.col("size") == 1)).withColumn("next", F.get("shingle", F.col("at") + 1)).drop("shingle")
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at", "next")
     first = each.join(small(often), "word", "left").groupBy("window").agg(F.min(rank).alias("first"), F.first("size").alias("size"))
-    return first.select("first.word", "first.at", "size").distinct()
+    return first.select("first.word", F.col("first.next").alias("after"), "first.at", "size").distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -49,15 +50,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, D
     windows = saved(benchmark.withColumn("window", F.monotonically_increasing_id()), "windows")
     wanted = saved(prefixes(windows, texts), "prefixes")
     # the number of words is taken before the words are dealt out, so that no row carries them all; outer, as Spark would else split each text once more to see if it has words
-    place = texts.select("doc_id", "row", words(F.col("text")).alias("w")).select("doc_id", "row", F.size("w").alias("n_words"), "w")
-    place = place.select("doc_id", "row", "n_words", F.posexplode_outer("w").alias("pos", "word"))
+    place = texts.select("doc_id", "row", words(F.col("text")).alias("w")).select("doc_id", "row", F.size("w").alias("n_words"), "w", F.slice("w", F.lit(2), F.size("w")).alias("x"))
+    place = place.select("doc_id", "row", "n_words", F.posexplode_outer(F.arrays_zip("w", "x")).alias("pos", "pair"))
+    place = place.select("doc_id", "row", "n_words", "pos", F.col("pair.w").alias("word"), F.col("pair.x").alias("next"))
     # positional and length bounds: the window must begin and end within the document
     start = F.col("pos") - F.col("at")
-    found = place.join(small(wanted), "word").where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
+    beside = F.col("after").isNull() | (F.col("after") == F.col("next"))
+    found = place.join(small(wanted), "word").where(beside & (start >= 0) & (start + F.col("size") <= F.col("n_words")))
     starts = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct(start.alias("start"), "size")).alias("starts"))
     starts = saved(starts, "starts")
     own = texts.alias("t").join(small(starts).alias("s"), (F.col("t.row") == F.col("s.row")) & F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")))
-    own = own.select("t.doc_id", "t.row", "starts", words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "row"])
+    own = own.select("t.doc_id", "t.row", "starts", words(F.col("text")).alias("w"))
     shingles = F.transform("starts", lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["size"]).alias("end"), F.slice("w", x["start"] + 1, x["size"]).alias("shingle")))
     each = own.select("doc_id", "row", F.explode(shingles).alias("x")).select("doc_id", "row", "x.*")
     return texts.select("doc_id", "row", F.size(words(F.col("text"))).alias("n_words")), each.join(small(windows.select("shingle", "items")), "shingle").select("doc_id", "row", "start", "end", "items")
