@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pick, saved, session, slices
-from .tokens import encoder, with_end
+from .common import mapped, pick, saved, session, slices
+from .tokens import SLICE, WORDS_KEPT, encoder, with_end
 
 #: Longest code in bits; a decoding table has two to this power entries.
 LONGEST = 18
@@ -129,8 +129,8 @@ def token_runs(docs: DataFrame, tokenizer: str, end_id: int, wide: int, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, first = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            ids, lengths = with_end(*encoder(tokenizer).encode(batch.column("text")), end_id)
+        for batch in slices(batches, most=2 * SLICE):
+            ids, lengths = with_end(*encoder(tokenizer, 2 * WORDS_KEPT).encode(batch.column("text")), end_id)
             ends, docs = np.cumsum(lengths), batch.column("doc_id").to_pylist()
             cuts = np.unique(np.append(np.searchsorted(ends, np.arange(BLOCK_IDS, ends[-1], BLOCK_IDS)) + 1, len(ends))).tolist()
             for a, b in zip([0, *cuts], cuts, strict=False):
@@ -140,7 +140,7 @@ def token_runs(docs: DataFrame, tokenizer: str, end_id: int, wide: int, id_col:
 
     rows = pick(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return rows.select("doc_id", "text").mapInArrow(run, f"{HEAD}, ids binary")
+    return mapped(rows.select("doc_id", "text"), run, f"{HEAD}, ids binary")
 
 
 def global_counts(runs: DataFrame, vocabulary: int, wide: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def global_counts(runs: DataFrame, vocabulary: int, wide: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(into[used])], names=["id", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for row in runs.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in mapped(runs.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
     return counts
 
@@ -187,7 +187,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, longest:
                 names=[*batch.schema.names[:-1], "bits", "payload", "checkpoints"],
             )
 
-    blocks = runs.mapInArrow(encode, BLOCKS).sortWithinPartitions("shard", "first")
+    blocks = mapped(runs, encode, BLOCKS).sortWithinPartitions("shard", "first")
     blocks.write.option("compression", "uncompressed").partitionBy("shard").parquet(f"{path}/blocks")
 
 
@@ -212,4 +212,4 @@ def read(spark: SparkSession, path: str, longest: int = LONGEST, with_ids: bool
                 names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays(columns[: 4 + with_ids], names=names[: 4 + with_ids])
 
-    return blocks.join(F.broadcast(before), "shard").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return mapped(blocks.join(F.broadcast(before), "shard"), decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

@@ -19,16 +19,20 @@ RUNS = r"(^|[^\p{L}\p{N}])[.,]"
 #: Set where a text is to be cut; a control character that ordinary texts don't hold.
 MARK = "\x1e"
 
-#: Distinct words that a worker keeps; beyond, it starts anew.
-WORDS_KEPT = 600_000
+#: Distinct words that a worker keeps, and bytes of text that it cuts into words at once; beyond the first, it starts anew. More of either is faster and takes more memory.
+WORDS_KEPT, SLICE = 250_000, 4 << 20
+
+#: Words that the library gets as one text.
+WORDS_A_TEXT = 200
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, kept: int = WORDS_KEPT) -> WordEncoder:
     """One encoder for each vocabulary file and worker process."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].kept = kept
     return _encoders[path]
 
 
@@ -44,7 +48,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.vocabulary = self.library.get_vocab_size()
+        self.vocabulary, self.kept = self.library.get_vocab_size(), WORDS_KEPT
         #: Which ids begin with a space.
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(self.vocabulary)])
         self.reset()
@@ -66,7 +70,7 @@ class WordEncoder:
         """plain() of distinct words. Those that begin with a space are encoded as one text, in which an id that begins with a space begins a word."""
         heads = [x for x in words if x[:1] != " "]
         rest = [x for x in words if x[:1] == " "]
-        ids, lengths = self.plain(["".join(rest)])
+        ids = self.plain(["".join(rest[i : i + WORDS_A_TEXT]) for i in range(0, len(rest), WORDS_A_TEXT)])[0]
         starts = np.flatnonzero(self.spaced[ids])
         own, many = np.diff(starts, append=len(ids)), len(rest)
         if len(starts) != many:  # a vocabulary with other habits
@@ -100,7 +104,7 @@ class WordEncoder:
 
     def words(self, texts: pa.Array, stops: bool) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words of texts that can be cut, and how many each text has."""
-        if len(self.known) > WORDS_KEPT:
+        if len(self.known) > self.kept:
             self.reset()
         for x in (" ", ".", ",") if stops else (" ",):
             texts = pc.replace_substring(texts, x, MARK + x)
