@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, saved, session, slices
-from .tokens import encoder, with_end
+from .common import mapped, pick, release, saved, session, slices
+from .tokens import SLICE, encoder, with_end
 
 #: Bins that stay open in one group of pieces.
 OPEN_BINS = 8192
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str
     """(doc_id, piece, start, length, ids_crc32) of each row's ids with the end id; rows longer than size are cut, and the first piece takes what is left over."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             ids, lengths = with_end(*encoder(tokenizer).encode(batch.column("text")), end_id)
             many = -(-lengths // size)
             doc = np.repeat(np.arange(len(lengths)), many)
@@ -93,8 +93,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str
                 [batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(own, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+            del ids, raw
+            release()
 
-    return pick(docs, id_col, text_col).mapInArrow(cut, PIECES)
+    return mapped(pick(docs, id_col, text_col), cut, PIECES)
 
 
 def pack(cut: DataFrame, size: int, open_bins: int = OPEN_BINS, group: int = GROUP_PIECES) -> DataFrame:
@@ -117,7 +119,7 @@ def pack(cut: DataFrame, size: int, open_bins: int = OPEN_BINS, group: int = GRO
             )
 
     full = cut.where(F.col("length") == size).withColumns({"sequence_id": F.monotonically_increasing_id() * 2, "offset": F.lit(0).cast("long")})
-    return full.unionByName(rest.repartition(groups, "doc_id", "piece").mapInArrow(fill, f"{PIECES}, sequence_id long, offset long"))
+    return full.unionByName(mapped(rest.repartition(groups, "doc_id", "piece"), fill, f"{PIECES}, sequence_id long, offset long"))
 
 
 def best_fit(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
