@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Links all larger neighbours of each node to the smallest of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    low = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "low", "lz4")
+    return both.where("v > u").join(small(low), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Links each node and all its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("low"))
-    rest = down.join(low, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    low = saved(down.groupBy("u").agg(F.min("v").alias("low")), "low", "lz4")
+    rest = down.join(small(low), "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return rest.unionByName(low.withColumnRenamed("low", "v")).distinct()
 
 
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (u, v): the smallest node that it is linked to, itself for roots.
 
     Alternating stars: the graph halves its depth in each turn, and a node of very many links is spread over tasks, as
-    minima are taken before the shuffle and the joins can be split. Every turn is written to the shared folder.
+    minima are taken before the shuffle, and written down before they are joined, so that Spark broadcasts few of them
+    and can split hot nodes of many. Every turn is written to the shared folder.
     """
     edges = saved(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", "lz4")
     last = None
