@@ -88,14 +88,14 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, int, bytes]:
         """The codes of the ids in 32-bit big-endian words, their bits, and the bit at which each STRIDE-th id begins."""
-        n = self.lengths[ids].astype(np.int64)
-        ends = np.cumsum(n)
+        n = self.lengths[ids]
+        ends = np.cumsum(n, dtype=np.int64 if len(ids) > 1 << 26 else np.int32)
         starts, bits = ends - n, int(ends[-1]) if len(ends) else 0
         if not bits:
             return b"", 0, b""
         word = starts >> 5
-        wide = self.codes[ids] << (64 - n - (starts & 31)).astype(np.uint64)
-        new = np.flatnonzero(np.diff(word, prepend=-1))  # a code is shorter than a word, so each word has a first code
+        wide = self.codes[ids] << (64 - n - (starts & 31).astype(np.uint8)).astype(np.uint64)
+        new = np.flatnonzero(np.diff(word, prepend=word.dtype.type(-1)))  # a code is shorter than a word, so each word has a first code
         out = np.zeros(int(word[-1]) + 2, np.uint64)
         out[word[new]] = np.add.reduceat(wide >> np.uint64(32), new)
         out[word[new] + 1] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), new)
@@ -123,40 +123,38 @@ def unplanes(raw: bytes, wide: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).reshape(-1).view(f"<u{wide}")
 
 
-def token_runs(docs: DataFrame, tokenizer: str, end_id: int, wide: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows in ascending doc_id order, in runs that each become a block: their ids, and where in its shard each run begins."""
-    arrow = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int32())), ("ids", pa.binary())])
+def token_runs(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, wide: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows in ascending doc_id order, in runs that each become a block: their ids, and where in its shard each run begins. The last row of a shard has no run, but how often each id occurs in the shard."""
+    arrow = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int32())), ("ids", pa.binary()), ("counted", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+
+    def row(*values: object) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(values, arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, first = TaskContext.get().partitionId(), 0
+        shard, first, total = TaskContext.get().partitionId(), 0, np.zeros(vocabulary, np.int64)
         for batch in slices(batches, most=2 * SLICE):
             ids, lengths = with_end(*encoder(tokenizer, 2 * WORDS_KEPT).encode(batch.column("text")), end_id)
             ends, docs = np.cumsum(lengths), batch.column("doc_id").to_pylist()
             cuts = np.unique(np.append(np.searchsorted(ends, np.arange(BLOCK_IDS, ends[-1], BLOCK_IDS)) + 1, len(ends))).tolist()
             for a, b in zip([0, *cuts], cuts, strict=False):
                 i, j = int(ends[a] - lengths[a]), int(ends[b - 1])
-                yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((shard, first + i, j - i, docs[a:b], lengths[a:b].tolist(), planes(ids[i:j], wide)), arrow, strict=True)], schema=arrow)
+                yield row(shard, first + i, j - i, docs[a:b], lengths[a:b].tolist(), planes(ids[i:j], wide), None, None)
+            total += np.bincount(ids, minlength=vocabulary)
             first += len(ids)
+        used = np.flatnonzero(total)
+        yield row(shard, first, 0, None, None, None, used, total[used])
 
     rows = pick(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return mapped(rows.select("doc_id", "text"), run, f"{HEAD}, ids binary")
-
+    return mapped(rows.select("doc_id", "text"), run, f"{HEAD}, ids binary, counted array<long>, counts array<long>")
 
-def global_counts(runs: DataFrame, vocabulary: int, wide: int) -> np.ndarray:
-    """How often each id occurs in all rows. A task sends a count for each id at most, and so does the sum to the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for x in batch.column("ids"):
-                into += np.bincount(unplanes(x.as_py(), wide), minlength=vocabulary)
-        used = np.flatnonzero(into)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(into[used])], names=["id", "n"])
 
+def global_counts(runs: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs in all shards. A shard has a count for each id at most, and so has the sum that reaches the driver."""
+    each = runs.where("counts is not null").select(F.explode(F.arrays_zip("counted", "counts")).alias("x"))
     counts = np.zeros(vocabulary, np.int64)
-    for row in mapped(runs.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[row["id"]] = row["n"]
+    for row in each.groupBy("x.counted").agg(F.sum("x.counts").alias("n")).collect():
+        counts[row["counted"]] = row["n"]
     return counts
 
 
@@ -174,8 +172,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, longest:
     spark = session(docs.sparkSession)
     vocabulary = max(encoder(tokenizer).vocabulary, end_id + 1)
     wide = 2 if vocabulary <= 1 << 16 else 4
-    runs = saved(token_runs(docs, tokenizer, end_id, wide, id_col, text_col), "runs")
-    code = Code(code_lengths(global_counts(runs, vocabulary, wide), longest), longest)
+    runs = saved(token_runs(docs, tokenizer, end_id, vocabulary, wide, id_col, text_col), "runs")
+    code = Code(code_lengths(global_counts(runs, vocabulary), longest), longest)
     lengths = [(int(i), int(code.lengths[i])) for i in np.flatnonzero(code.lengths)]
     spark.createDataFrame(lengths, "id int, length int").coalesce(1).write.parquet(f"{path}/code")
 
@@ -187,7 +185,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, longest:
                 names=[*batch.schema.names[:-1], "bits", "payload", "checkpoints"],
             )
 
-    blocks = mapped(runs, encode, BLOCKS).sortWithinPartitions("shard", "first")
+    blocks = mapped(runs.where("counts is null").drop("counted", "counts"), encode, BLOCKS).sortWithinPartitions("shard", "first")
     blocks.write.option("compression", "uncompressed").partitionBy("shard").parquet(f"{path}/blocks")
 
 
