@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -77,7 +76,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a path through Hadoop's file system, whatever store it is in; a session that has ended leaves it."""
-    if spark.sparkContext._jsc is not None:
+    with suppress(Exception):  # at the end of the program the session may be gone, or its JVM
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -146,8 +145,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 held.append(batch.slice(at, to - at))
                 size += int(ends[to - 1] - done)
             if to < batch.num_rows or size >= most:
-                yield pa.concat_batches(held)
-                held, size = [], 0
+                out, held, size = pa.concat_batches(held), [], 0
+                yield out
+                del out
+                release()
             at = to
     if held:
         yield pa.concat_batches(held)
@@ -165,7 +166,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def release() -> None:
     """Gives memory that a worker doesn't need back to the machine; workers stay, and others follow them on it."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
