@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import io
 import tempfile
 import uuid
 import zipfile
@@ -36,16 +37,20 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that their Python finds it wherever they run."""
+    """Sends this package to the executors by the shared folder, once for each application, so that their Python finds it wherever they run."""
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
-        top = Path(__file__).resolve().parents[1]
-        path = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
-        with zipfile.ZipFile(path, "w") as out:
+        top, raw = Path(__file__).resolve().parents[1], io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as out:
             for x in sorted(top.rglob("*.py")):
                 out.write(x, x.relative_to(top.parent))
-        context.addPyFile(str(path))
+        path = f"{new_path(spark, 'package')}/{top.name}.zip"
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        stream = place.getFileSystem(context._jsc.hadoopConfiguration()).create(place)
+        stream.write(bytearray(raw.getvalue()))
+        stream.close()
+        context.addPyFile(path)
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -105,9 +110,20 @@ def stored_bytes(df: DataFrame) -> int:
     return int(str(plan.stats().sizeInBytes()))
 
 
+def partitions(df: DataFrame, each: int) -> int:
+    """How many partitions to deal df into: the session's number, or as many as keep them at about `each` stored bytes."""
+    size = stored_bytes(df)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, least, -(-size // each) if size < 1 << 58 else 0)  # Spark gives an unknown size as a huge one
+
+
+def is_small(df: DataFrame) -> bool:
+    return stored_bytes(df) <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
     """df, a saved table, marked for broadcast if its measured size allows; else Spark joins it by shuffling."""
-    return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, pick, saved, session, small
+from .common import LOWER, UPPER, ascii_lower, is_small, pick, saved, session, small
 
 #: What stands between two words, in texts whose A-Z are small letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,7 +35,10 @@ def prefixes(windows: DataFrame, texts: DataFrame) -> DataFrame:
     """
     listed = windows.select(F.explode("shingle").alias("word")).distinct()
     listed = saved(listed, "listed")
-    often = texts.select(F.explode_outer(words(F.col("text"))).alias("word")).join(small(listed), "word").groupBy("word").agg(F.count("*").alias("n"))
+    every = texts.select(F.explode_outer(words(F.col("text"))).alias("word"))
+    count = lambda x: x.groupBy("word").agg(F.count("*").alias("n"))
+    # where the list is too large to broadcast, all words are counted before they move, so that hot ones don't
+    often = count(every.join(F.broadcast(listed), "word")) if is_small(listed) else count(every).join(listed, "word")
     often = saved(often, "often")
     each = windows.select("window", F.size("shingle").alias("size"), "shingle").select("window", "size", "shingle", F.posexplode("shingle").alias("at", "word"))
     each = each.where((F.col("at") < F.col("size") - 1) | (F.col("size") == 1)).withColumn("next", F.get("shingle", F.col("at") + 1)).drop("shingle")

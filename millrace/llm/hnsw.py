@@ -23,7 +23,7 @@ EF_BUILD, EF_SEARCH = 64, 128
 EXPAND, TOGETHER = 4, 256
 
 #: Vectors of a shard: as few as the first, unless that makes more shards than the second, but never more than the third.
-SHARD_LEAST, SHARDS, SHARD_MOST = 8192, 64, 1 << 20
+SHARD_LEAST, SHARDS, SHARD_MOST = 8192, 64, 1 << 18
 
 NEAREST, EVERY = 20, 20
 

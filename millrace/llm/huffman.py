@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mapped, pick, saved, session, slices
+from .common import mapped, partitions, pick, saved, session, slices
 from .tokens import SLICE, WORDS_KEPT, encoder, with_end
 
 #: Longest code in bits; a decoding table has two to this power entries.
@@ -26,6 +26,9 @@ BLOCK_IDS = 1 << 17
 #: Ids between two checkpoints; a block is decoded at all its checkpoints at once.
 STRIDE = 128
 
+#: Stored bytes of documents in a shard.
+SHARD_BYTES = 256 << 20
+
 HEAD = "shard int, first long, n_ids long, doc_ids array<long>, doc_lengths array<int>"
 BLOCKS = f"{HEAD}, bits long, payload binary, checkpoints binary"
 
@@ -145,7 +148,7 @@ def token_runs(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, wi
         yield row(shard, first, 0, None, None, None, used, total[used])
 
     rows = pick(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = rows.repartitionByRange(partitions(docs, SHARD_BYTES), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return mapped(rows.select("doc_id", "text"), run, f"{HEAD}, ids binary, counted array<long>, counts array<long>")
 
 

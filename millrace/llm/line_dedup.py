@@ -15,11 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANK, ascii_lower, mapped, pick, rows_a_batch, saved, session, slices, small
+from .common import BLANK, ascii_lower, mapped, partitions, pick, rows_a_batch, saved, session, slices, small
 
 #: A line counts if its key has so many code points at least, and is dropped if so many documents hold it at least.
 LEAST_LENGTH, LEAST_DOCS = 40, 5
 
+#: Stored bytes of lines in a range; a task holds one in memory.
+RANGE_BYTES = 32 << 20
+
 LINE = "h1 long, h2 long, doc long, row long, pos int, n_lines int"
 RUNS = f"open boolean, part int, {LINE}, n_docs long, low long, high long"
 
@@ -80,7 +83,7 @@ def keep_bitmaps(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs:
     found = saved(lines(keyed(docs, id_col, text_col), least_length), "lines", "lz4")
     order = ["h1", "h2", "doc", "row", "pos"]
     with rows_a_batch(spark, 20_000):
-        told = saved(runs(found.repartitionByRange(*order).sortWithinPartitions(*order), least_docs), "runs", "lz4")
+        told = saved(runs(found.repartitionByRange(partitions(found, RANGE_BYTES), *order).sortWithinPartitions(*order), least_docs), "runs", "lz4")
     parts = told.where("n_docs is not null")  # two rows for each range at most
     before = F.lag("high").over(W.partitionBy("h1", "h2").orderBy("part"))
     whole = parts.select("h1", "h2", "high", (F.col("n_docs") - F.when(before == F.col("low"), 1).otherwise(0)).alias("n"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mixed, pick, rows_a_batch, saved, session, slices, small
+from .common import mapped, mixed, partitions, pick, rows_a_batch, saved, session, slices, small
 from .components import components
 
 #: Words of an n-gram; the similarity from which on documents are linked, as a fraction.
@@ -31,6 +31,9 @@ BUCKET_BLOCK, GROUP_BLOCK = 512, 256
 #: Distinct n-grams in a column block of the verification.
 COLUMNS = 4096
 
+#: Stored bytes of sketches for each partition of buckets and groups.
+SKETCH_BYTES = 16 << 20
+
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -265,10 +268,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     result.
     """
     spark = session(docs.sparkSession)
-    size = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     bands, rows = bands_and_rows(similar[0] / similar[1])
     texts = pick(docs, id_col, text_col)
     own = saved(sketches(texts, words, bands, rows), "sketches")
+    size = partitions(own, SKETCH_BYTES)
     classes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     with rows_a_batch(spark, 2000):
