@@ -28,6 +28,11 @@ def relation(df: DataFrame, key: str, val: str) -> DataFrame:
     return df.select(df[key].alias("key"), df[val].alias("val"))
 
 
+def as_pairs(rel: DataFrame) -> DataFrame:
+    """(pair): key and value of each row side by side in one column."""
+    return rel.select(F.struct("key", "val").alias("pair"))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.hashing import FIRST_FACTOR, SECOND_FACTOR, bucket, chunk_of, slice_of
+from .functions.hashing import FIRST_FACTOR, SECOND_FACTOR, chunk_of, slice_of
 from .operators import bloom, distribute, metrics, partition
 from .operators import join as joins
 from .operators.join import Strategy, relation
@@ -262,6 +262,18 @@ def bloom_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom.passing(events(spark, sf_dir), bloom.build(urgent(spark, sf_dir), SHAPE), SHAPE)
 
 
+@query(passing_sql(SHAPE))
+def bloom_refiltered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second filtering, as before a late exchange, changes nothing."""
+    words = bloom.build(urgent(spark, sf_dir), SHAPE)
+    return bloom.passing(bloom.passing(events(spark, sf_dir), words, SHAPE), bloom.merge(words), SHAPE)
+
+
+@query(f"select cast(sum(bit_count(bits)) as bigint) as set_bits, cast({SHAPE.whole} as bigint) as all_bits, sum(bit_count(bits)) / {SHAPE.whole}::double as ratio from ({words_sql(URGENT, SHAPE)})")
+def bloom_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom.fill(bloom.build(urgent(spark, sf_dir), SHAPE), SHAPE)
+
+
 @query(passing_sql(PARTS))
 def bloom_partitioned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom.passing(events(spark, sf_dir), bloom.build(urgent(spark, sf_dir), PARTS), PARTS)
@@ -397,6 +409,11 @@ def synthetic_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"r_val": (F.col("position") + 1).cast("int"), "s_val": (F.col("position") + 100_000_001).cast("int")})
 
 
+@query(f"select key, val from ({R})")
+def interleaved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.as_pairs(orders(spark, sf_dir)).select("pair.key", "pair.val")
+
+
 @query(f"select count(*) as matches, least(count(*), 50000) as kept from ({pairs_sql(CUST, EV)})")
 def answer_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.capped_count(joins.inner_join(customers(spark, sf_dir), events(spark, sf_dir)), 50_000)

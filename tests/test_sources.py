@@ -3,7 +3,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.join import inner_join, match_count
-from millrace.operators.metrics import summary  # noqa: F401
 from millrace.sources import generator, raw
 from millrace.streaming import chunks
 
