@@ -1,12 +1,10 @@
 import random
 
 import pytest
+from clash import CLASH
 
 from millrace.llm.queries import vocabulary
 
-#: Names that an operator may use for its own columns.
-CLASH = ("row", "doc", "key", "word", "other0", "null", "n", "text_hash")
-
 TYPES = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x}` string" for x in CLASH)
 
 

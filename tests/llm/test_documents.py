@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import CLASH
+from clash import CLASH
 
 from millrace.llm import decontaminate, language, line_dedup, ngram_join, secret_scan, toxicity
 from millrace.llm.words import held_out
