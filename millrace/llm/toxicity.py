@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, most_frequent, saved, session, slices, small
+from .common import mapped, most_frequent, partitions, saved, session, slices, small, stored_bytes
 from .words import held_out, letter_words
 
-#: Bounds of the model, which is broadcast: words that have a number of their own, and pairs whose ratio differs from what their words say. Counts are over all training rows; rarer words share one number.
-MOST_WORDS, MOST_PAIRS = 1 << 16, 1 << 18
+#: Bound of the pairs whose ratio differs from what their words say.
+MOST_PAIRS = 1 << 18
+
+#: The model is broadcast whole if its tables take at most so many stored bytes; else it is joined to shares of the rows.
+MODEL_BYTES = 24 << 20
+
+#: Stored bytes of rows in a share.
+SHARE_BYTES = 16 << 20
 
 #: Bound of the scored training rows to which the logistic curve is fitted.
 FIT_ROWS = 20_000
@@ -35,10 +41,6 @@ LEAST_DOCS, STEMS = 10, (6, 5, 4)
 FEATURES = ("mean", "top", "strong", "size")
 
 
-def discounted(n: np.ndarray) -> np.ndarray:
-    return np.maximum(n - DISCOUNT * np.sqrt(n), 0)
-
-
 def stems(words: pa.Array, length: int) -> pa.Array:
     """The first letters of words, with a mark that no word has; null for words that aren't longer."""
     cut = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, length), "*", "")
@@ -47,46 +49,70 @@ def stems(words: pa.Array, length: int) -> pa.Array:
 
 @dataclass
 class Model:
-    """Log-ratios, toxic over ordinary: of each word, of what each word leaves to the next one's own, and of pairs, sorted."""
+    """Words with their numbers, ascending after 0 for none; log-ratios, toxic over ordinary: of each word, of what each word leaves to the next one's own, and of pairs, sorted. All of them, or those that a share of the rows holds."""
 
     words: pa.Array
+    number: np.ndarray
     word: np.ndarray
     left: np.ndarray
     pairs: np.ndarray
     pair: np.ndarray
 
     def places(self, distinct: pa.Array) -> np.ndarray:
-        """The number of each word, or of its longest stem that has one; 0 for the rest."""
+        """The place of each word's number, or of its longest stem's that has one; 0 for the rest."""
         found = pc.index_in(distinct, value_set=self.words)
         for k in STEMS:
             found = pc.coalesce(found, pc.index_in(stems(distinct, k), value_set=self.words))
         return np.asarray(found.fill_null(-1), dtype=np.int64) + 1
 
+    def document_pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs of neighbouring words of each text, as text, place of the first, place of the second; and how many texts. A text's first word follows 0."""
+        codes, distinct, many = letter_words(texts)
+        used, at = np.unique(np.append(0, self.places(distinct)), return_inverse=True)
+        here = at[1:][codes]
+        doc = np.repeat(np.arange(len(many)), many)
+        before = np.zeros(len(here), np.int64)
+        before[1:] = here[:-1]
+        before[(np.cumsum(many) - many)[many > 0]] = 0
+        pair, kinds = before * len(used) + here, len(used) ** 2
+        names = None
+        if len(many) * kinds >= 1 << 63:
+            names, pair = np.unique(pair, return_inverse=True)
+            kinds = len(names)
+        seen = np.unique(doc * kinds + pair)
+        doc, pair = seen // kinds, seen % kinds
+        if names is not None:
+            pair = names[pair]
+        return doc, used[pair // len(used)], used[pair % len(used)], many
+
+    def numbered(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Pairs of places as number << 32 | number."""
+        return self.number[first] << 32 | self.number[second]
+
     def features(self, texts: pa.Array) -> np.ndarray:
         """A row for each text: the length-normalised log-ratio over its distinct pairs, that of its most toxic word, the sum of strong ones, and the log of its distinct pairs."""
-        codes, distinct, many = letter_words(texts)
-        seen = document_pairs(self.places(distinct)[codes], many)
-        doc, pair = seen >> 32, seen & 0xFFFFFFFF
-        at = np.minimum(np.searchsorted(self.pairs, pair), max(0, len(self.pairs) - 1))
-        ratio = self.left[pair >> 16] + self.word[pair & 0xFFFF]
+        doc, first, second, many = self.document_pairs(texts)
+        pair = self.numbered(first, second)
+        ratio = self.left[first] + self.word[second]
         if len(self.pairs):
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
             ratio = np.where(self.pairs[at] == pair, self.pair[at], ratio)
         n = np.bincount(doc, minlength=len(many))
-        own = np.unique(doc << 32 | pair & 0xFFFF)
-        word, whose = self.word[own & 0xFFFF], own >> 32
+        own = np.unique(doc * len(self.number) + second)
+        word, whose = self.word[own % len(self.number)], own // len(self.number)
         top = np.zeros(len(many))
         np.maximum.at(top, whose, word)
         strong = np.log1p(np.bincount(whose, np.maximum(word - STRONG, 0), len(many)))
         return np.stack([np.bincount(doc, ratio, len(many)) / np.maximum(n, 1), top, strong, np.log1p(n)], 1)
 
 
-def document_pairs(places: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """The distinct pairs of neighbouring words of each text, as text << 32 | first << 16 | second; a text's first word follows 0."""
-    doc = np.repeat(np.arange(len(many)), many)
-    before = np.zeros(len(places), np.int64)
-    before[1:] = places[:-1]
-    before[(np.cumsum(many) - many)[many > 0]] = 0
-    return np.unique(doc << 32 | before << 16 | places)
+def model(words: pa.Table | None, none: float, pairs: pa.Table | None = None) -> Model:
+    """The model of rows of the tables of words and of pairs, which may repeat; `none` is what no word leaves."""
+    number, at = np.unique(np.asarray(words["number"]) if words else np.zeros(0, np.int64), return_index=True)
+    name = words["word"].combine_chunks().take(pa.array(at)) if words else pa.array([], pa.string())
+    ratio, left = (np.asarray(words[k])[at] if words else np.zeros(0) for k in ("ratio", "back"))
+    pair, of = np.unique(np.asarray(pairs["pair"]) if pairs else np.zeros(0, np.int64), return_index=True)
+    return Model(name, np.append(0, number), np.append(0.0, ratio), np.append(none, left), pair, np.asarray(pairs["ratio"])[of] if pairs else np.zeros(0))
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -106,60 +132,141 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return mapped(rows.select("text", "toxic"), count, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def pair_counts(rows: DataFrame, words: pa.Array) -> DataFrame:
-    """(pair, toxic, ordinary): how many documents of either class hold each pair."""
-    shared = rows.sparkSession.sparkContext.broadcast(words)
+def shared_out(rows: DataFrame, n: int) -> DataFrame:
+    """rows with the share, of n, that each belongs to."""
+    return rows.withColumn("share", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Model(shared.value, *[np.zeros(0)] * 4).places
+
+def beside(rows: DataFrame, n: int, words: DataFrame, none: float, pairs: DataFrame | None, use: Callable[[Model, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """use(model, rows) for slices of rows, of n shares, with the part of the model that their share needs.
+
+    words and pairs are joined by shuffling to the distinct words and pairs of each share; what is found comes before
+    the rows of its share. A worker holds that and a slice.
+    """
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=16 << 20):
-            codes, distinct, many = letter_words(batch.column("text"))
-            seen = document_pairs(places(distinct)[codes], many)
-            toxic = np.asarray(batch.column("toxic"))[seen >> 32]
-            pairs, at = np.unique(seen & 0xFFFFFFFF, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), *(pa.array(np.bincount(at, toxic == k, len(pairs)).astype(np.int64)) for k in (1, 0))], names=["pair", "toxic", "ordinary"])
+            share = np.asarray(batch.column("share"))
+            for x in np.unique(share):
+                _, found, _ = letter_words(batch.column("text").filter(pa.array(share == x)))
+                named = pa.chunked_array([found, *(stems(found, k).drop_null() for k in STEMS)]).unique()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(named), x, np.int32)), named], names=["share", "word"])
+
+    def needs(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, first, second, _ = model.document_pairs(batch.column("text"))
+        pair = np.unique(model.numbered(first, second))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), np.asarray(batch.column("share"))[0], np.int32)), pa.array(pair)], names=["share", "pair"])
+
+    def gathered(found: DataFrame) -> DataFrame:
+        return found.groupBy("share").agg(*(F.collect_list(c).alias(f"look_{c}") for c in found.columns if c != "share"))
+
+    def streamed(look: DataFrame, use: Callable, schema: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = None, model(None, none)
+            for batch in slices(batches):
+                share, looks = np.asarray(batch.column("share")), np.asarray(batch.column("looks"))
+                for x in share[np.append(True, share[1:] != share[:-1])]:
+                    if x != at:
+                        at, held = x, model(None, none)
+                    for i in np.flatnonzero((share == x) & looks):
+                        row = {k: batch.column(f"look_{k}").slice(i, 1).flatten() for k in ("number", "word", "ratio", "back", "pair", "pair_ratio")}
+                        held = model(pa.table({k: row[k] for k in ("number", "word", "ratio", "back")}), none, pa.table({"pair": row["pair"], "ratio": row["pair_ratio"]}))
+                    rest = batch.filter(pa.array((share == x) & ~looks))
+                    if rest.num_rows:
+                        yield use(held, rest)
+
+        both = rows.withColumn("looks", F.lit(False)).unionByName(look.withColumn("looks", F.lit(True)), allowMissingColumns=True)
+        return mapped(both.repartition(n, "share").sortWithinPartitions("share", F.desc("looks")), run, schema)
+
+    held = mapped(rows.select("share", "text").repartition(n, "share"), hold, "share int, word string")
+    look = saved(gathered(held.join(words, "word")), "look_words")
+    if pairs is None:
+        return streamed(look.withColumns({"look_pair": F.array().cast("array<bigint>"), "look_pair_ratio": F.array().cast("array<double>")}), use, schema)
+    wanted = streamed(look.withColumns({"look_pair": F.array().cast("array<bigint>"), "look_pair_ratio": F.array().cast("array<double>")}), needs, "share int, pair long")
+    found = saved(gathered(wanted.join(pairs.withColumnRenamed("ratio", "pair_ratio"), "pair")), "look_pairs")
+    return streamed(look.join(found, "share", "full"), use, schema)
+
+
+def by_model(rows: DataFrame, n: int, words: DataFrame, none: float, pairs: DataFrame | None, use: Callable[[Model, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """use(model, rows) for slices of rows: by broadcast if the model's tables are small, else share by share."""
+    if sum(stored_bytes(x) for x in (words, pairs) if x is not None) > MODEL_BYTES:
+        return beside(shared_out(rows, n), n, words, none, pairs, use, schema)
+    whole = model(words.toArrow(), none, pairs.toArrow() if pairs is not None else None)
+    shared, most = rows.sparkSession.sparkContext.broadcast(whole), (4 if pairs is not None else 16) << 20
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=most):
+            yield use(shared.value, batch)
+
+    return mapped(rows, run, schema)
+
+
+def pair_counts(rows: DataFrame, n: int, words: DataFrame) -> DataFrame:
+    """(pair, toxic, ordinary): how many documents of either class hold each pair."""
+
+    def count(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc, first, second, _ = model.document_pairs(batch.column("text"))
+        toxic = np.asarray(batch.column("toxic"))[doc]
+        pairs, at = np.unique(model.numbered(first, second), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(pairs), *(pa.array(np.bincount(at, toxic == k, len(pairs)).astype(np.int64)) for k in (1, 0))], names=["pair", "toxic", "ordinary"])
+
+    found = by_model(rows.select("doc_id", "text", "toxic"), n, words, 0.0, None, count, "pair long, toxic long, ordinary long")
+    return found.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
 
-    return mapped(rows.select("text", "toxic"), count, "pair long, toxic long, ordinary long").groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+def kept(n: Column) -> Column:
+    """A count after the discount."""
+    return F.greatest(F.lit(0.0), n - DISCOUNT * F.sqrt(n))
 
 
-def learn(rows: DataFrame, most_words: int = MOST_WORDS, most_pairs: int = MOST_PAIRS) -> Model:
-    """The model of (text, toxic).
+def learn(rows: DataFrame, n: int) -> tuple[DataFrame, float, DataFrame]:
+    """The model of (doc_id, text, toxic), of n shares: (number, word, ratio, back) of words, what no word leaves, (pair, ratio) of pairs; the ratios as in Model.
 
     Both classes interpolate their own discounted counts with one shared distribution: how many distinct words each word
     follows, in either class. A pair backs off to the class's word, a word to the shared count; rare words are counted
-    and scored by their stems.
+    and scored by their stems. Words have no bound: they are a saved table.
     """
+    both = ("toxic", "ordinary")
     words = word_counts(rows).withColumn("n", F.col("toxic") + F.col("ordinary")).where((F.col("n") >= LEAST_DOCS) | F.col("word").endswith("*") & (F.col("n") > 1))
-    words = most_frequent(saved(words, "words"), "n", most_words - 1).toPandas().sort_values("word")
-    listed = pa.array(words["word"], pa.string())
-    pairs = saved(pair_counts(rows, listed), "pairs", "lz4")
-    size = len(words) + 1
-    before, after = F.shiftright("pair", 16), F.col("pair").bitwiseAND(0xFFFF)
-    # tables of a row for each listed word at most
-    follows = pairs.groupBy(after.alias("w")).agg(F.count("*").alias("kinds")).toPandas()
-    kept = {k: F.greatest(F.lit(0.0), F.col(k) - DISCOUNT * F.sqrt(k)) for k in ("toxic", "ordinary")}
-    heads = pairs.groupBy(before.alias("v")).agg(*(F.sum(x).alias(f"{k}_{how}") for k in kept for how, x in (("all", F.col(k)), ("kept", kept[k])))).toPandas()
-    shared = np.full(size, 0.5)
-    shared[follows["w"].to_numpy(np.int64)] += follows["kinds"].to_numpy()
-    shared /= shared.sum()
-    own, left, totals = {}, {}, {}
-    for k in kept:
-        counts = np.append(0, words[k].to_numpy(np.float64))
-        total = max(counts.sum(), 1)
-        own[k] = discounted(counts) / total + (total - discounted(counts).sum()) / total * shared if counts.sum() else shared
-        totals[k], left[k] = np.ones(size), np.ones(size)
-        v = heads["v"].to_numpy(np.int64)
-        totals[k][v] = np.maximum(heads[f"{k}_all"], 1)
-        left[k][v] = np.maximum(1 - heads[f"{k}_kept"] / totals[k][v], 1e-3)
-    word, back = np.log(own["toxic"] / own["ordinary"]), np.log(left["toxic"] / left["ordinary"])
-    word[0] = 0
+    words = saved(words.select("word", *both).orderBy("word").withColumn("at", F.monotonically_increasing_id()), "words")
+    # numbers without gaps: a row for each partition
+    part, first, at = F.shiftright("at", 33), 1, []
+    for r in words.groupBy(part.alias("part")).count().orderBy("part").collect():
+        at.append((r["part"], first))
+        first += r["count"]
+    if first >= 1 << 31:
+        raise ValueError("more words than 32 bits number")
+    starts = rows.sparkSession.createDataFrame(at, "part long, first long")
+    words = words.withColumn("part", part.cast("long")).join(F.broadcast(starts), "part").select((F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("number"), "word", *both)
+    words = saved(words, "numbers")
+    plain = words.select("number", "word", F.lit(0.0).alias("ratio"), F.lit(0.0).alias("back"))
+    pairs = saved(pair_counts(rows, n, plain), "pairs", "lz4")
+    before, after = F.shiftright("pair", 32), F.col("pair").bitwiseAND(0xFFFFFFFF)
+    follows = saved(pairs.groupBy(after.alias("number")).agg(F.count("*").alias("kinds")), "follows")
+    heads = saved(pairs.groupBy(before.alias("number")).agg(*(F.sum(x).alias(f"{k}_{how}") for k in both for how, x in (("all", F.col(k)), ("kept", kept(F.col(k)))))), "heads")
+    sums = words.agg(*(F.sum(x).alias(f"{k}_{how}") for k in both for how, x in (("all", F.col(k)), ("kept", kept(F.col(k)))))).first()
+    kinds = (follows.agg(F.sum("kinds")).first()[0] or 0) + 0.5 * first
+    nothing = rows.sparkSession.createDataFrame([(0, None, 0, 0)], words.schema)
+    followed = (F.coalesce("kinds", F.lit(0)) + 0.5) / kinds
+    told = words.unionByName(nothing).join(small(follows), "number", "left").join(small(heads), "number", "left")
+    for k in both:
+        total, mass = max(sums[f"{k}_all"] or 0, 1), sums[f"{k}_kept"] or 0.0
+        told = told.withColumns({
+            f"{k}_own": kept(F.col(k)) / total + followed * ((total - mass) / total) if sums[f"{k}_all"] else followed,
+            f"{k}_total": F.greatest(F.coalesce(f"{k}_all", F.lit(0)), F.lit(1)),
+        })
+        told = told.withColumn(f"{k}_left", F.greatest(1 - F.coalesce(f"{k}_kept", F.lit(0.0)) / F.col(f"{k}_total"), F.lit(1e-3)))
+    told = saved(told.withColumns({"ratio": F.log(F.col("toxic_own") / F.col("ordinary_own")), "back": F.log(F.col("toxic_left") / F.col("ordinary_left"))}), "told")
+    listed = saved(told.where("number > 0").select("number", "word", "ratio", "back"), "ratios")
+    none = told.where("number = 0").first()["back"]
     # pairs that few documents hold have nothing left after the discount, and back off
-    some = pairs.where((kept["toxic"] > 0) | (kept["ordinary"] > 0)).withColumn("n", F.col("toxic") + F.col("ordinary"))
-    some = most_frequent(some, "n", most_pairs).toPandas().sort_values("pair")
-    pair = some["pair"].to_numpy(np.int64)
-    v, w = pair >> 16, pair & 0xFFFF
-    p = {k: discounted(some[k].to_numpy(np.float64)) / totals[k][v] + left[k][v] * own[k][w] for k in kept}
-    return Model(listed, word, back, pair, np.log(p["toxic"] / p["ordinary"]))
+    some = pairs.where((kept(F.col("toxic")) > 0) | (kept(F.col("ordinary")) > 0)).withColumn("n", F.col("toxic") + F.col("ordinary"))
+    some = saved(most_frequent(some, "n", MOST_PAIRS).withColumns({"v": before, "w": after}), "some")
+    heads = told.select(F.col("number").alias("v"), *(c for k in both for c in (f"{k}_left", f"{k}_total")))
+    tails = told.select(F.col("number").alias("w"), *(f"{k}_own" for k in both))
+    p = {k: kept(F.col(k)) / F.col(f"{k}_total") + F.col(f"{k}_left") * F.col(f"{k}_own") for k in both}
+    scored = some.join(small(heads), "v").join(small(tails), "w").select("pair", F.log(p["toxic"] / p["ordinary"]).alias("ratio"))
+    return listed, none, saved(scored, "pair_ratios")
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,7 +292,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     training row. Labels that repeat for a doc_id count as their largest; rows of one doc_id share its label. Counts
     are taken over all training rows and grow with them; only the logistic curve is fitted to FIT_ROWS rows at most.
     """
-    spark = session(docs.sparkSession)
+    session(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     marks = saved(labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "marks")
     marked = rows.where("not held_out").join(small(marks), "doc_id").withColumn("key", F.xxhash64("text"))
@@ -195,14 +302,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     usual = classes.get(1, 0) / max(1, sum(classes.values()))
     if len(classes) < 2:
         return rows.select("doc_id", "held_out", F.lit(usual).alias("score"), F.lit(int(usual >= LIMIT)).alias("predicted"), F.lit(0.0).alias("log_ratio"))
-    shared = spark.sparkContext.broadcast(learn(train))
+    n = partitions(rows, SHARE_BYTES)
+    words, none, pairs = learn(train, n)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            x = shared.value.features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(x[:, i]) for i in range(len(FEATURES)))], names=["doc_id", "held_out", *FEATURES])
+    def score(model: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = model.features(batch.column("text"))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(x[:, i]) for i in range(len(FEATURES)))], names=["doc_id", "held_out", *FEATURES])
 
-    told = saved(mapped(rows, score, "doc_id long, held_out boolean, " + ", ".join(f"{x} double" for x in FEATURES)), "features")
+    told = saved(by_model(rows, n, words, none, pairs, score, "doc_id long, held_out boolean, " + ", ".join(f"{x} double" for x in FEATURES)), "features")
     some = told.where("not held_out and size > 0").join(small(marks), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select(*FEATURES, "toxic").toPandas()
     if some["toxic"].nunique() < 2:
         chance = F.lit(usual)
