@@ -11,12 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, most_frequent, partitions, saved, session, slices, small, stored_bytes
+from .common import mapped, partitions, saved, session, slices, small, stored_bytes
 from .words import held_out, letter_words
 
-#: Bound of the pairs whose ratio differs from what their words say.
-MOST_PAIRS = 1 << 18
-
 #: The model is broadcast whole if its tables take at most so many stored bytes; else it is joined to shares of the rows.
 MODEL_BYTES = 24 << 20
 
@@ -224,7 +221,7 @@ def learn(rows: DataFrame, n: int) -> tuple[DataFrame, float, DataFrame]:
 
     Both classes interpolate their own discounted counts with one shared distribution: how many distinct words each word
     follows, in either class. A pair backs off to the class's word, a word to the shared count; rare words are counted
-    and scored by their stems. Words have no bound: they are a saved table.
+    and scored by their stems. Words and pairs have no bound: they are saved tables.
     """
     both = ("toxic", "ordinary")
     words = word_counts(rows).withColumn("n", F.col("toxic") + F.col("ordinary")).where((F.col("n") >= LEAST_DOCS) | F.col("word").endswith("*") & (F.col("n") > 1))
@@ -260,8 +257,7 @@ def learn(rows: DataFrame, n: int) -> tuple[DataFrame, float, DataFrame]:
     listed = saved(told.where("number > 0").select("number", "word", "ratio", "back"), "ratios")
     none = told.where("number = 0").first()["back"]
     # pairs that few documents hold have nothing left after the discount, and back off
-    some = pairs.where((kept(F.col("toxic")) > 0) | (kept(F.col("ordinary")) > 0)).withColumn("n", F.col("toxic") + F.col("ordinary"))
-    some = saved(most_frequent(some, "n", MOST_PAIRS).withColumns({"v": before, "w": after}), "some")
+    some = saved(pairs.where((kept(F.col("toxic")) > 0) | (kept(F.col("ordinary")) > 0)).withColumns({"v": before, "w": after}), "some")
     heads = told.select(F.col("number").alias("v"), *(c for k in both for c in (f"{k}_left", f"{k}_total")))
     tails = told.select(F.col("number").alias("w"), *(f"{k}_own" for k in both))
     p = {k: kept(F.col(k)) / F.col(f"{k}_total") + F.col(f"{k}_left") * F.col(f"{k}_own") for k in both}

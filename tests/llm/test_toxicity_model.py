@@ -41,6 +41,18 @@ def test_words_have_no_bound(spark):
     assert with_bad > without + 0.1
 
 
+def test_pairs_have_no_bound(spark):
+    p, rng = 521, random.Random(4)
+    names = short_words(p)
+    ordinary = [" ".join(names[(k + r * 100) * s % p] for k in range(p + 1)) for s in range(1, p - 1) for r in range(5)]
+    # the first follows the second in ordinary texts at no place
+    first, second = names[7], names[6]
+    others = [x for x in names if x not in (first, second)]
+    toxic = [f"{names[50 + i]} {first} {second} " + " ".join(rng.sample(others, 3)) for i in range(5)]
+    one, other = log_ratios(spark, ordinary, toxic, [f"{names[90]} {first} {second}", f"{names[90]} {second} {first}"])
+    assert one > other + 0.3
+
+
 def test_shares_equal_the_whole(spark, docs, rows, monkeypatch):
     marks = spark.createDataFrame([(r[0], int(i % 3 == 0)) for i, r in enumerate(rows) if r[0] is not None], "doc_id long, toxic int")
     whole = toxicity.toxicity(docs, marks).collect()
