@@ -32,8 +32,8 @@ STRONG = 1.0
 #: A document counts as toxic from this score on.
 LIMIT = 0.3
 
-#: Words that fewer training documents hold count by their first letters only: by so many, if they have more.
-LEAST_DOCS, STEMS = 10, (6, 5, 4)
+#: Words of which the discount leaves nothing in either class count by their first letters: by so many, if they have more.
+STEMS = (6, 5, 4)
 
 FEATURES = ("mean", "top", "strong", "size")
 
@@ -224,7 +224,7 @@ def learn(rows: DataFrame, n: int) -> tuple[DataFrame, float, DataFrame]:
     and scored by their stems. Words and pairs have no bound: they are saved tables.
     """
     both = ("toxic", "ordinary")
-    words = word_counts(rows).withColumn("n", F.col("toxic") + F.col("ordinary")).where((F.col("n") >= LEAST_DOCS) | F.col("word").endswith("*") & (F.col("n") > 1))
+    words = word_counts(rows).where((kept(F.col("toxic")) > 0) | (kept(F.col("ordinary")) > 0) | F.col("word").endswith("*") & (F.col("toxic") + F.col("ordinary") > 1))
     words = saved(words.select("word", *both).orderBy("word").withColumn("at", F.monotonically_increasing_id()), "words")
     # numbers without gaps: a row for each partition
     part, first, at = F.shiftright("at", 33), 1, []

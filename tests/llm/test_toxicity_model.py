@@ -53,6 +53,18 @@ def test_pairs_have_no_bound(spark):
     assert one > other + 0.3
 
 
+@pytest.mark.parametrize("letters", [3, 4])
+def test_rare_words_say_something(spark, letters):
+    rng, names = random.Random(6), short_words(400)
+    bad = "zyxw"[:letters]
+    # each ordinary text begins with a word of its own
+    ordinary = [" ".join([chr(97 + i // 26) + chr(97 + i % 26) + "q", *rng.sample(names, 30)]) for i in range(400)]
+    toxic = [f"{bad} " + " ".join(rng.sample(names, 30)) for _ in range(8)]
+    text = " ".join(rng.sample(names, 10))
+    with_bad, without = log_ratios(spark, ordinary, toxic, [f"{bad} {text}", text])
+    assert with_bad > without + 0.1
+
+
 def test_shares_equal_the_whole(spark, docs, rows, monkeypatch):
     marks = spark.createDataFrame([(r[0], int(i % 3 == 0)) for i, r in enumerate(rows) if r[0] is not None], "doc_id long, toxic int")
     whole = toxicity.toxicity(docs, marks).collect()
