@@ -86,7 +86,7 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, key, sig, bands): the set's size and digest, 16 bits of each least hash, a hash of each band."""
+    """(doc_id, row, n, key, sig, bands): the text's hash, the set's size and digest, 16 bits of each least hash, a hash of each band."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, adds = permutations(bands * rows)
@@ -100,11 +100,11 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             sig = least.astype("<u2")
             buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(each.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), buckets],
-                names=["doc_id", "n", "key", "sig", "bands"],
+                [batch.column("doc_id"), batch.column("row"), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), buckets],
+                names=["doc_id", "row", "n", "key", "sig", "bands"],
             )
 
-    return mapped(docs, make, "doc_id long, n long, key binary, sig binary, bands array<long>")
+    return mapped(docs, make, "doc_id long, row long, n long, key binary, sig binary, bands array<long>")
 
 
 def in_groups(rows: DataFrame, size: int, block: int, *keys: str) -> DataFrame:
@@ -235,7 +235,7 @@ def similar_sets(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) ->
 
 
 def verified(docs: DataFrame, wanted: DataFrame, words: int, similar: tuple[int, int], size: int) -> DataFrame:
-    """(u, v, classes, docs): links of the wanted classes (cid, doc_id, key, size, comp, members) on their full sets, as a forest with null counts, and each class's counts with a null v."""
+    """(u, v, classes, docs): links of the wanted classes (cid, doc_id, row, key, size, comp, members) on their full sets, as a forest with null counts, and each class's counts with a null v."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()  # a task sends a class once, however often its row is repeated
@@ -250,29 +250,21 @@ def verified(docs: DataFrame, wanted: DataFrame, words: int, similar: tuple[int,
             columns = [batch.column(x) for x in ("cid", "size", "comp", "members")] + [pa.array([x.tobytes() for x in own], pa.binary())]
             yield pa.RecordBatch.from_arrays([x.filter(right) for x in columns], names=["cid", "size", "comp", "members", "grams"])
 
-    texts = mapped(docs.join(small(wanted), "doc_id"), sets, "cid long, size long, comp long, members long, grams binary")
+    own, of = docs.alias("d"), small(wanted).alias("w")
+    same = (F.col("d.row") == F.col("w.row")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
+    texts = mapped(own.join(of, same).select("d.text", "w.*"), sets, "cid long, size long, comp long, members long, grams binary")
     exact = lambda table: similar_sets([np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], similar)
     return mapped(in_groups(texts, size, GROUP_BLOCK, "comp"), lambda x: compare(x, ["comp", "i", "j"], exact, True), "u long, v long, classes long, docs long")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(doc_id, class_id, n_links) of each row: the smallest doc_id that it is linked to directly or through others, and how many other rows it is linked to.
-
-    Two documents are linked if the Jaccard similarity of their sets of word n-grams is that fraction or more. Words are
-    runs of ASCII letters, digits and other than ASCII characters, with A-Z in small letters. Documents of equal sets
-    form a class, and only classes are compared; a class's own rows are links of each other, and are never paired.
-    Classes meet in buckets of equal bands; those that also look alike there form groups, in which all pairs are
-    verified on the full sets and only counted, block by block, so hot buckets and groups stay within bounds and lose
-    nothing. Null texts and texts without words are linked to none; a class_id is null for a lone row without an id;
-    rows without an id are never a class's smallest; repeated rows are rows of their own; an empty table gives an empty
-    result.
-    """
+def linked(docs: DataFrame, id_col: str, text_col: str, words: int, similar: tuple[int, int]) -> DataFrame:
+    """(doc_id, row, class_id, n_links) of each row as link says; row is the text's hash."""
     spark = session(docs.sparkSession)
     bands, rows = bands_and_rows(similar[0] / similar[1])
-    texts = pick(docs, id_col, text_col)
+    texts = pick(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
     own = saved(sketches(texts, words, bands, rows), "sketches")
     size = partitions(own, SKETCH_BYTES)
-    classes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"), F.count("*").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     with rows_a_batch(spark, 2000):
         found = saved(candidates(classes, bands * rows, size), "candidates", "lz4")
@@ -280,14 +272,29 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     comps = saved(comps, "groups", "lz4")
     members = comps.groupBy("root").agg(F.count("*").alias("members"))
     wanted = comps.join(members, "root").select(F.col("node").alias("cid"), F.col("root").alias("comp"), "members")
-    wanted = saved(classes.where("doc_id is not null").select("cid", "doc_id", "key", "size").join(wanted, "cid"), "wanted")
+    wanted = saved(classes.select("cid", "doc_id", "row", "key", "size").join(wanted, "cid"), "wanted")
     links = saved(verified(texts, wanted, words, similar, size), "links", "lz4")
     sums = links.where("v is null").groupBy(F.col("u").alias("cid")).agg(F.sum("docs").alias("links"))
     roots = saved(components(links.where("v is not null").select("u", "v")), "roots", "lz4")
     named = classes.select("cid", "key", "doc_id", "size").join(roots.withColumnRenamed("node", "cid"), "cid", "left").join(sums, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     told = saved(named.join(lowest, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "told")
-    return own.select("doc_id", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(small(told), "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return own.select("doc_id", "row", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(small(told), "key", "left").select("doc_id", "row", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(doc_id, class_id, n_links) of each row: the smallest doc_id that it is linked to directly or through others, and how many other rows it is linked to.
+
+    Two documents are linked if the Jaccard similarity of their sets of word n-grams is that fraction or more. Words are
+    runs of ASCII letters, digits and other than ASCII characters, with A-Z in small letters. Documents of equal sets
+    form a class, and only classes are compared; a class's own rows are links of each other, and are never paired.
+    Classes meet in buckets of equal bands; those that also look alike there form groups, in which all pairs are
+    verified on the full sets and only counted, block by block, so hot buckets and groups stay within bounds and lose
+    nothing. Null texts and texts without words are linked to none; a class_id is null for a lone row without an id;
+    rows without an id are never a class's smallest; repeated rows are rows of their own; an empty table gives an empty
+    result.
+    """
+    return linked(docs, id_col, text_col, words, similar).select("doc_id", "class_id", "n_links")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -123,6 +123,20 @@ def test_one_of_each_group_stays(docs, rows):
     assert Counter(r.doc_id for r in out.collect()) == Counter(r[0] for r in rows if groups[r[0]] in (None, r[0]))
 
 
+def test_near_copies_without_an_id_are_linked(spark):
+    import random
+
+    rng = random.Random(9)
+    first = [f"a{rng.randrange(10**6)}" for _ in range(100)]
+    # each is linked to the next only
+    near = [" ".join(first[8 * i : 100]) + "".join(f" b{k}" for k in range(8 * i)) for i in range(3)]
+    rows = [(1, near[0]), (None, near[1]), (None, near[1]), (3, near[2]), (None, "few words"), (None, "few words")]
+    expected = linked_by_hand(rows)
+    assert dict(x[:2] for x in expected)[3] == 1
+    found = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert ordered(found) == ordered(expected)
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.bands_and_rows(0.8, 0.999, 128)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
