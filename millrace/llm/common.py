@@ -126,18 +126,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
-def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
-    """The rows of a saved table with the highest counts, as far as they are `most` at most. Steps of counts are cut at as a whole, so that neither a sort nor more than some hundred rows reach the driver."""
-    step = F.floor(F.log(count) * 16)
-    total, least = 0, None
-    for row in sorted(df.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        total += row["count"]
-        if total > most:
-            break
-        least = row["step"]
-    return df.where(step >= least) if least is not None else df.limit(0)
-
-
 def pick(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text); other columns, whatever their names, can't clash with an operator's own. Null text counts as empty."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, most_frequent, saved, session, slices, small
+from .common import mapped, saved, session, slices, small
 from .words import held_out, letter_words
 
 #: Characters of an n-gram. A character is its code point's low 15 bits, so a whole n-gram is one integer.
@@ -23,9 +23,6 @@ BEGIN, END = 1, 2
 #: Taken from each count for the lower orders.
 DISCOUNT = 0.75
 
-#: The bound of a model: if a language has more distinct n-grams, the rarest are smoothed over like unseen ones.
-MOST_GRAMS = 1_000_000
-
 #: Temperatures tried for the score; that under which the training rows' languages are likeliest is taken.
 SHARPNESS = (1, 2, 4, 8, 16, 32, 64, 128)
 
@@ -117,16 +114,13 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return mapped(rows.select("text", "lang"), count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def learn(rows: DataFrame, most: int = MOST_GRAMS) -> dict[str, Model]:
-    """The models of all languages of (text, lang). All rows count; a model holds at most `most` n-grams, the most frequent, which bounds what is broadcast."""
+def learn(rows: DataFrame) -> dict[str, Model]:
+    """The models of all languages of (text, lang), with every n-gram of all rows. What is broadcast grows with the distinct n-grams, not with the rows."""
     counts = saved(gram_counts(rows), "grams")
-    size = counts.groupBy("lang").count().collect()  # a row for each language
+    names = counts.select("lang").distinct().collect()  # a row for each language
     out = {}
-    for name, n in sorted((r["lang"], r["count"]) for r in size):
-        own = counts.where(F.col("lang") == name).select("code", "n")
-        if n > most:
-            own = most_frequent(own, "n", most)
-        own = own.toPandas().sort_values("code")
+    for name in sorted(r["lang"] for r in names):
+        own = counts.where(F.col("lang") == name).select("code", "n").toPandas().sort_values("code")
         out[name] = Model.of(own["code"].to_numpy(), own["n"].to_numpy())
     return out
 

@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from clash import CLASH
 
@@ -124,8 +126,6 @@ def test_one_of_each_group_stays(docs, rows):
 
 
 def test_near_copies_without_an_id_are_linked(spark):
-    import random
-
     rng = random.Random(9)
     first = [f"a{rng.randrange(10**6)}" for _ in range(100)]
     # each is linked to the next only
@@ -137,6 +137,16 @@ def test_near_copies_without_an_id_are_linked(spark):
     assert ordered(found) == ordered(expected)
 
 
+def test_models_have_no_bound(spark):
+    rng = random.Random(11)
+    rows = [("".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(2000)), "zh") for _ in range(550)]
+    rows.append(("一丁丂 " * 3, "zh"))
+    found = language.learn(spark.createDataFrame(rows, "text string, lang string").repartition(4))["zh"]
+    expected = np.unique(np.concatenate([language.grams(pa.array(x.split()))[0] for x, _ in rows]))
+    assert len(expected) > 1_000_000
+    assert np.array_equal(found.keys[-1], expected)
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.bands_and_rows(0.8, 0.999, 128)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
