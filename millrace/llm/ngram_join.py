@@ -298,6 +298,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that no smaller doc_id is linked to; all columns stay. Of repeated rows of one id all stay or none."""
-    told = saved(link(docs, id_col, text_col).where("class_id != doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
-    return docs.join(small(told), id_col, "left_anti")
+    """The rows of docs that no smaller doc_id is linked to; all columns stay. Of repeated rows of one id and text all stay or none; of different texts of one id each by itself. Rows without an id stay."""
+    gone = saved(linked(docs, id_col, text_col, WORDS, SIMILAR).where("class_id != doc_id").select("doc_id", "row").distinct(), "copies")
+    same = (docs[id_col].cast("long") == gone["doc_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["row"])
+    return docs.join(small(gone), same, "left_anti")

@@ -137,6 +137,12 @@ def test_near_copies_without_an_id_are_linked(spark):
     assert ordered(found) == ordered(expected)
 
 
+def test_other_texts_of_an_id_stay(spark):
+    copy, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, copy), (2, copy), (2, other)], "doc_id long, text string")
+    assert ordered(ngram_join.first_of_each(docs).collect()) == [(1, copy), (2, other)]
+
+
 def test_models_have_no_bound(spark):
     rng = random.Random(11)
     rows = [("".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(2000)), "zh") for _ in range(550)]
