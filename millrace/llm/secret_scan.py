@@ -47,23 +47,39 @@ def mixed(part: str) -> bool:
 
 
 def near(spans: list[Span], others: list[Span], scope: int) -> list[Span]:
-    """Those of spans whose interval, widened by the scope, meets one of others: an interval join over both sorted by place, each span looked up once."""
+    """Those of spans whose interval, widened by the scope, meets one of others that shares no character with it: an interval join over both sorted by place, each span looked up once."""
     starts = sorted(x[0] for x in others)
     ends = sorted(x[1] for x in others)
-    # an interval meets another unless it ends before or starts after; so count those that start before its end less those that end before its start
-    return [x for x in spans if bisect_right(starts, x[1] + scope) > bisect_left(ends, x[0] - scope)]
+
+    def meeting(a: int, b: int) -> int:
+        # of the intervals that begin before b, all but those that end at a or before
+        return bisect_left(starts, b) - bisect_right(ends, a)
+
+    return [x for x in spans if meeting(x[0] - scope - 1, x[1] + scope + 1) > meeting(x[0], x[1])]
+
+
+def apart(spans: list[Span], others: list[Span]) -> list[Span]:
+    """Those of spans that share no character with any of others."""
+    starts = sorted(x[0] for x in others)
+    ends = sorted(x[1] for x in others)
+    return [x for x in spans if bisect_left(starts, x[1]) == bisect_right(ends, x[0])]
 
 
 def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
-    """Weak parts that stand near complementary ones: identifiers need a secret, secrets an identifier, endpoints both."""
-    taken = {x[:2] for x in base}
-    keys = [x for m in KEY_PART.finditer(text) if mixed(m[0]) and (x := (m.start(), m.end(), "key"))[:2] not in taken]
+    """Weak parts that stand near complementary ones: identifiers need a secret, secrets an identifier, endpoints both.
+
+    No part complements one with which it shares characters, so what is read as an identifier and as a secret at once
+    isn't reported for itself. A long string inside a base span or an endpoint is a part of that. An endpoint's
+    identifier and secret must have a complement themselves.
+    """
     names = [(m.start(), m.end(), "name") for m in NAME_PART.finditer(text)]
     ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT_PART.finditer(text)]
+    keys = apart([(m.start(), m.end(), "key") for m in KEY_PART.finditer(text) if mixed(m[0])], base + ends)
     identifiers = [x for x in base if x[2] == "access"] + names
     secrets = [x for x in base if x[2] != "access"] + keys
-    out = near(keys, identifiers, scope) + near(names, secrets, scope)
-    return out + near(near(ends, identifiers, scope), secrets, scope)
+    known, hidden = near(identifiers, secrets, scope), near(secrets, identifiers, scope)
+    out = [x for x in hidden if x[2] == "key"] + [x for x in known if x[2] == "name"]
+    return out + near(near(ends, known, scope), hidden, scope)
 
 
 def spans(text: str, scope: int = SCOPE) -> tuple[list[Span], list[Span]]:
@@ -82,8 +98,9 @@ def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row; spans are kind:start:end in code points.
 
     Null and empty texts have no spans; texts are read whole, however long; a document is scanned by itself, so hot
-    sources, copies and repeated rows change nothing; an empty table gives an empty result. A first search over all
-    texts at once leaves out those that can hold nothing.
+    sources, copies, repeated rows and rows without an id change nothing; spans that begin together come in the order of
+    KINDS; other columns, whatever their names, are ignored; an empty table gives an empty result. A first search over
+    all texts at once leaves out those that can hold nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
