@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,17 +17,17 @@ from .tokens import SLICE, encoder, with_end
 #: Bins that stay open in one group of pieces.
 OPEN_BINS = 8192
 
-#: Pieces that are looked at together and placed from the longest to the shortest.
-AHEAD = 4096
-
 #: Pieces that one task packs; each group closes its last bins unfilled, so groups are large.
 GROUP_PIECES = 200_000
 
+#: Copies of one piece that go to a group together.
+COPIES = 64
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Packer:
-    """Best fit with a fixed number of open bins.
+    """Online best fit with a fixed number of open bins.
 
     A bitset has bit f set while some open bin has f places free, so the tightest bin for a piece is the lowest set bit
     at or above its length, and the fullest bin the lowest of all. That one closes when there are too many.
@@ -62,18 +61,6 @@ class Packer:
         return at, self.size - f
 
 
-def windows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The rows of small batches in batches of at least so many, but for the last."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(x.num_rows for x in held) >= rows:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
-
-
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each row's ids with the end id; rows longer than size are cut, and the first piece takes what is left over."""
 
@@ -102,30 +89,41 @@ def pack(cut: DataFrame, size: int, open_bins: int = OPEN_BINS, group: int = GRO
     """The rows of a saved table of pieces with sequence_id and offset.
 
     Pieces of full length are sequences as they are. The rest, a few numbers a row, is dealt by hash into groups of
-    bounded size, and each group is packed in one pass; so neither a hot document nor a hot length makes a large task.
+    bounded size, and each group is packed in one pass, online: in the order of that hash, each piece as it comes.
+    Equal rows are counted before they move and dealt by so many, so that neither repeated rows, nor rows without an id,
+    nor a hot document or length makes a large task. Groups and their order follow from the rows alone: a task that
+    runs again, or another order of the input, packs the same.
     """
     rest = cut.where(F.col("length") < size)
     groups = max(1, -(-rest.count() // group))
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, base = Packer(size, open_bins), TaskContext.get().partitionId() << 33
-        for batch in windows(batches, AHEAD):
-            batch = batch.take(pc.sort_indices(batch, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
+        for batch in batches:
+            batch = batch.select(names).take(pa.array(np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("copies")))))
             placed = [packer.place(n) for n in batch.column("length").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([2 * (base + b) + 1 for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
-                names=[*batch.schema.names, "sequence_id", "offset"],
+                names=[*names, "sequence_id", "offset"],
             )
 
+    same = rest.groupBy(*names).agg(F.count("*").alias("many"))
+    dealt = same.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("many") - 1).cast("long"), F.lit(COPIES).cast("long"))))
+    dealt = dealt.withColumn("copies", F.least(F.lit(COPIES), F.col("many") - F.col("lot"))).withColumn("deal", F.xxhash64(*names, "lot"))
+    order = ["deal", *names, "lot"]
+    dealt = dealt.repartition(groups, "deal").sortWithinPartitions(*order).select(*names, "copies")
     full = cut.where(F.col("length") == size).withColumns({"sequence_id": F.monotonically_increasing_id() * 2, "offset": F.lit(0).cast("long")})
-    return full.unionByName(mapped(rest.repartition(groups, "doc_id", "piece"), fill, f"{PIECES}, sequence_id long, offset long"))
+    return full.unionByName(mapped(dealt, fill, f"{PIECES}, sequence_id long, offset long"))
 
 
 def best_fit(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs the ids of all rows into sequences of at most `size` ids.
 
-    Null and empty texts have one piece, the end id; equal texts and ids, repeated rows and null ids are packed row by
-    row; an empty table gives an empty result; other columns are ignored, whatever their names.
+    Null and empty texts have one piece, the end id; very long texts are cut into pieces of `size` ids, the first of
+    which takes what is left over; equal texts and ids, repeated rows and null ids are packed row by row; of bins with
+    as much room, the last that came to have it is taken; an empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
     session(docs.sparkSession)
     return pack(saved(pieces(docs, tokenizer, end_id, size, id_col, text_col), "pieces"), size)
