@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from .common import BLANK, ascii_lower, mapped, partitions, pick, rows_a_batch,
 #: A line counts if its key has so many code points at least, and is dropped if so many documents hold it at least.
 LEAST_LENGTH, LEAST_DOCS = 40, 5
 
-#: Stored bytes of lines in a range; a task holds one in memory.
+#: Stored bytes of lines in a range, which one task streams.
 RANGE_BYTES = 32 << 20
 
 LINE = "h1 long, h2 long, doc long, row long, pos int, n_lines int"
@@ -40,32 +41,84 @@ def lines(rows: DataFrame, least_length: int) -> DataFrame:
     return key.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc", "row", "pos", "n_lines")
 
 
+@dataclass
+class Run:
+    """The lines of one hash as far as they were streamed: how many documents, the first and the last of them; whether it is its range's first run, which may have begun in another."""
+
+    h1: int
+    h2: int
+    high: int
+    low: int
+    n_docs: int
+    leads: bool
+
+
 def runs(sorted_lines: DataFrame, least_docs: int) -> DataFrame:
-    """Streams each range of (hash, document, place) once. Lines to drop leave as rows; the first and the last run of a range, which may go on in its neighbours, leave whole, marked open, with a row of their own for their count."""
+    """Streams each range of (hash, falling document, place) once. Lines to drop leave as rows.
+
+    The first document of a run is the one that keeps its lines; those of the next ones are held until there are
+    least_docs documents, and leave as they come from then on. So a task holds one batch, and the lines of one hash of
+    a few documents, however long the run. The first run of a range may go on from others: its lines leave whole,
+    marked open. The last one may go on in others: what is held of it leaves as open. Both leave a row with their count.
+    """
+    names = [x.split()[0] for x in RUNS.split(", ")]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        held = [x for x in batches if x.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        h1, h2, doc = (rows.column(x).to_numpy() for x in ("h1", "h2", "doc"))
-        new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
-        run = np.cumsum(new) - 1
-        other = new | np.append(True, doc[1:] != doc[:-1])
-        n_docs = np.bincount(run[other])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(doc)) - 1
-        high, edge = doc[last], np.isin(np.arange(len(first)), (0, len(first) - 1))
-        for is_open, keep in ((False, ((n_docs >= least_docs) & ~edge)[run] & (doc != high[run])), (True, edge[run])):
-            some = rows.filter(pa.array(keep))
+        part, run, held = TaskContext.get().partitionId(), None, []
+
+        def rows(some: pa.RecordBatch, is_open: bool) -> pa.RecordBatch:
             nothing = pa.nulls(some.num_rows, pa.int64())
-            columns = [pa.array(np.full(some.num_rows, is_open)), pa.array(np.full(some.num_rows, part, np.int32)), *(x.combine_chunks() for x in some.columns), nothing, nothing, nothing]
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RUNS.split(", ")])
-        ends = np.flatnonzero(edge)
-        zero = pa.nulls(len(ends), pa.int64())
-        columns = [pa.array(np.full(len(ends), True)), pa.array(np.full(len(ends), part, np.int32)), pa.array(h1[first[ends]]), pa.array(h2[first[ends]]), zero, zero, zero.cast(pa.int32()), zero.cast(pa.int32()), pa.array(n_docs[ends]), pa.array(doc[first[ends]]), pa.array(high[ends])]
-        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RUNS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(some.num_rows, is_open)), pa.array(np.full(some.num_rows, part, np.int32)), *some.columns, nothing, nothing, nothing], names=names)
+
+        def count(x: Run) -> pa.RecordBatch:
+            values = (True, part, x.h1, x.h2, None, None, None, None, x.n_docs, x.low, x.high)
+            kinds = [pa.bool_(), pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int32(), *[pa.int64()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h1, h2, doc = (batch.column(x).to_numpy() for x in ("h1", "h2", "doc"))
+            goes_on = run is not None and (run.h1, run.h2) == (h1[0], h2[0])
+            new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+            other = new | np.append(True, doc[1:] != doc[:-1])
+            other[0] = not goes_on or doc[0] != run.low
+            start, of = np.flatnonzero(new), np.cumsum(new) - 1
+            last = np.append(start[1:], len(doc)) - 1
+            seen = np.cumsum(other)
+            rank = seen - (seen[start] - other[start])[of]  # which document of its run a line is in, from 1
+            n_docs = np.bincount(of[other], minlength=len(start))
+            if goes_on:
+                rank[: last[0] + 1] += run.n_docs
+                n_docs[0] += run.n_docs
+            elif run is not None:
+                held = []
+                if run.leads:
+                    yield count(run)
+            leads = run is None or goes_on and run.leads
+            whole = np.zeros(len(start), bool)
+            whole[0] = leads
+            drop = (rank >= 2) & ((n_docs >= least_docs) & ~whole)[of]
+            if leads:
+                yield rows(batch.slice(0, last[0] + 1), True)
+            if goes_on and held and n_docs[0] >= least_docs:
+                yield from (rows(x, False) for x in held)
+                held = []
+            if drop.any():
+                yield rows(batch.filter(pa.array(drop)), False)
+            first = Run(h1[0], h2[0], run.high if goes_on else doc[0], doc[last[0]], int(n_docs[0]), leads)
+            if len(start) > 1:
+                held = []
+                if leads:
+                    yield count(first)
+                run = Run(h1[-1], h2[-1], doc[start[-1]], doc[-1], int(n_docs[-1]), False)
+            else:
+                run = first
+            if not run.leads and run.n_docs < least_docs:
+                held.append(batch.filter(pa.array((of == of[-1]) & (rank >= 2))))
+        if run is not None:
+            yield from (rows(x, True) for x in held)
+            yield count(run)
 
     return mapped(sorted_lines, stream, RUNS)
 
@@ -76,17 +129,18 @@ def keep_bitmaps(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs:
     A line's key is the line without ASCII white space at its ends and with A-Z in small letters. Keys of at least
     least_length code points that at least least_docs distinct doc_ids hold stay in the largest of these only; rows of
     one doc_id are one document, as are rows without one, whose id counts as the smallest. Null and empty texts hold
-    one empty line. An empty table gives no rows. Lines are dealt by ranges of (hash, document, place), so a line that a
-    third of all documents share spreads over many tasks.
+    one empty line. An empty table gives no rows. Repeated rows keep the same lines; very long texts are split whole;
+    other columns, whatever their names, are ignored. Lines are dealt by ranges of (hash, document, place), so a line
+    that a third of all documents share spreads over many tasks.
     """
     spark = session(docs.sparkSession)
     found = saved(lines(keyed(docs, id_col, text_col), least_length), "lines", "lz4")
-    order = ["h1", "h2", "doc", "row", "pos"]
+    order = ["h1", "h2", F.desc("doc"), "row", "pos"]
     with rows_a_batch(spark, 20_000):
         told = saved(runs(found.repartitionByRange(partitions(found, RANGE_BYTES), *order).sortWithinPartitions(*order), least_docs), "runs", "lz4")
     parts = told.where("n_docs is not null")  # two rows for each range at most
-    before = F.lag("high").over(W.partitionBy("h1", "h2").orderBy("part"))
-    whole = parts.select("h1", "h2", "high", (F.col("n_docs") - F.when(before == F.col("low"), 1).otherwise(0)).alias("n"))
+    before = F.lag("low").over(W.partitionBy("h1", "h2").orderBy("part"))
+    whole = parts.select("h1", "h2", "high", (F.col("n_docs") - F.when(before == F.col("high"), 1).otherwise(0)).alias("n"))
     over = whole.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("high").alias("top")).where(F.col("n") >= least_docs)
     rest = told.where("open and n_docs is null").join(F.broadcast(over), ["h1", "h2"]).where("doc != top")
     place = ["doc", "row", "pos", "n_lines"]
