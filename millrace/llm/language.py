@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import mapped, saved, session, slices, small
 from .words import held_out, letter_words
 
-#: Characters of an n-gram. A character is its code point's low 15 bits, so a whole n-gram is one integer.
-ORDER, BITS = 4, 15
+#: Characters of an n-gram, and bits of one: whole code points, so an n-gram's key is its perfect hash in 63 bits.
+ORDER, BITS = 3, 21
 MASK = (1 << BITS) - 1
 
 #: Marks of a word's beginning and end; no letters.
@@ -23,11 +23,20 @@ BEGIN, END = 1, 2
 #: Taken from each count for the lower orders.
 DISCOUNT = 0.75
 
-#: Temperatures tried for the score; that under which the training rows' languages are likeliest is taken.
+#: Temperatures tried for the score; that under which the calibrating rows' languages are likeliest is taken.
 SHARPNESS = (1, 2, 4, 8, 16, 32, 64, 128)
 
-#: A text is rejected if its cross-entropy is so many standard deviations and nats above what its language's training rows have, and has so many letters.
-REJECT_SD, REJECT_NATS, REJECT_LETTERS = 8.0, 1.25, 60
+#: Of how many texts one is kept from the counts, to calibrate the score and the rejection.
+FIT_EACH = 8
+
+#: Texts of fewer letters than the first are never rejected; those of fewer than the second, which scatter more, have limits of their own.
+REJECT_LETTERS, REJECT_LONG = 60, 200
+
+#: Of the calibrating texts, at most this share is rejected, and none within so many nats of the highest of the others.
+REJECT_RATE, REJECT_NATS = 1e-4, 0.1
+
+#: N-grams whose models are broadcast together; more languages take more passes over the texts.
+MODEL_GRAMS = 1 << 22
 
 
 def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +47,6 @@ def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     ends = np.flatnonzero(points == 10)
     many = np.diff(ends, prepend=-1)
-    points = points & MASK
     points[ends] = END
     place = np.arange(len(points)) - np.repeat(ends - many + 1, many)
     out = points.copy()
@@ -115,21 +123,38 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 def learn(rows: DataFrame) -> dict[str, Model]:
-    """The models of all languages of (text, lang), with every n-gram of all rows. What is broadcast grows with the distinct n-grams, not with the rows."""
+    """The models of all languages of (text, lang), with every n-gram of all rows."""
     counts = saved(gram_counts(rows), "grams")
-    names = counts.select("lang").distinct().collect()  # a row for each language
-    out = {}
-    for name in sorted(r["lang"] for r in names):
-        own = counts.where(F.col("lang") == name).select("code", "n").toPandas().sort_values("code")
-        out[name] = Model.of(own["code"].to_numpy(), own["n"].to_numpy())
+    return models(counts, [r["lang"] for r in counts.select("lang").distinct().collect()])  # a row for each language
+
+
+def models(counts: DataFrame, names: list[str]) -> dict[str, Model]:
+    """The models of some languages, in the order of their names, from one reading of the saved counts."""
+    found = counts.where(F.col("lang").isin(names)).orderBy("lang", "code").toArrow()
+    each = found["lang"].combine_chunks().dictionary_encode()
+    lang, code, n = np.asarray(each.indices), found["code"].to_numpy(), found["n"].to_numpy()
+    return {name: Model.of(code[lang == i], n[lang == i]) for i, name in sorted(enumerate(each.dictionary.to_pylist()), key=lambda x: x[1])}
+
+
+def passes(sizes: dict[str, int], most: int) -> list[list[str]]:
+    """Names, in order, in groups of at most `most` n-grams, or of one language that has more."""
+    out: list[list[str]] = []
+    room = 0
+    for name in sorted(sizes):
+        if not out or sizes[name] > room:
+            out.append([])
+            room = most
+        out[-1].append(name)
+        room -= sizes[name]
     return out
 
 
 def cross_entropies(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
-    """docs, of which `text` is one column, with n_letters and, in the order of the models, the cross-entropies in nats a character; text goes."""
+    """docs, of which `text` is one column, with n_letters and, in the order of the models, the cross-entropies in nats a character after those that it has; text goes."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(list(models.values()))
-    others = [x for x in docs.columns if x != "text"]
+    others = [x for x in docs.columns if x not in ("text", "n_letters", "entropies")]
+    more = "entropies" in docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -139,7 +164,7 @@ def cross_entropies(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
             starts = np.cumsum(counts) - counts
             doc = np.repeat(np.arange(len(many)), many)
             length = np.bincount(doc, counts[codes], len(many)) if len(codes) else np.zeros(len(many))
-            each = []
+            each = list(np.asarray(batch.column("entropies").flatten()).reshape(len(many), -1).T) if more else []
             for model in shared.value:
                 word = np.add.reduceat(model.score(keys)[at], starts) if len(own) else np.zeros(0)
                 each.append(-np.bincount(doc, word[codes], len(many)) / np.maximum(length, 1))
@@ -149,7 +174,7 @@ def cross_entropies(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in others), letters, entropies], names=[*others, "n_letters", "entropies"])
 
     kinds = {x.name: x.dataType.simpleString() for x in docs.schema}
-    return mapped(docs.select(*others, "text"), score, ", ".join([f"`{x}` {kinds[x]}" for x in others] + ["n_letters long", "entropies array<double>"]))
+    return mapped(docs.select(*others, *["entropies"] * more, "text"), score, ", ".join([f"`{x}` {kinds[x]}" for x in others] + ["n_letters long", "entropies array<double>"]))
 
 
 def likeliness(entropies: Column, sharpness: float) -> Column:
@@ -161,31 +186,38 @@ def likeliness(entropies: Column, sharpness: float) -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, cross_entropy, rejected, text_hash) of each row.
 
-    A model for each language is learned from the texts of all rows that aren't held out and have a language; none of
-    language, id and other columns is an input of a prediction. The language of the lowest length-normalised
-    cross-entropy wins, ties by name. The score is its share under a temperature fitted to the training rows. Null
-    texts, and texts without letters, are `und` with score 0, and rejected, as is a text whose cross-entropy is far
-    above what the training rows of its language have. Without training rows all are `und`. Repeated rows are counted
-    and scored row by row; an empty table gives an empty result.
+    A model for each language is learned from the texts of rows that aren't held out and have a language; none of
+    language, id and other columns, whatever their names, is an input of a prediction. The language of the lowest
+    length-normalised cross-entropy wins, ties by name. One text of FIT_EACH is kept from the counts: on these the
+    temperature of the score, which is the winner's share, and the limits of rejection are fitted. A text is rejected if
+    its cross-entropy is above its language's limit for texts as short or long: halfway between what the language's own calibrating rows have and
+    what those of other languages would have if theirs weren't known, or more if REJECT_RATE asks for more. Null texts,
+    and texts without letters, are `und` with score 0, and rejected. Texts are read whole, very long ones too. Without
+    training rows all are `und`. Repeated rows are counted and scored row by row; rows without an id are scored, and
+    learned from; an empty table gives an empty result.
     """
     spark = session(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     rows = rows.withColumns({"held_out": held_out(F.col("doc_id")), "text_hash": F.xxhash64("text")})
-    models = learn(rows.where("not held_out and lang is not null and text is not null"))
-    names = F.array(*[F.lit(x) for x in models]) if models else F.array().cast("array<string>")
-    own = rows.withColumn("place", F.when(~F.col("held_out"), F.array_position(names, F.col("lang")).cast("int"))).drop("lang")
-    told = saved(cross_entropies(own, models), "entropies")
+    apart = F.pmod("text_hash", F.lit(FIT_EACH)) == 0
+    counts = saved(gram_counts(rows.where(~apart & F.expr("not held_out and lang is not null and text is not null"))), "grams")
+    sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}  # a row for each language
+    groups = passes(sizes, MODEL_GRAMS)
+    ordered = [x for group in groups for x in group]
+    names = F.array(*[F.lit(x) for x in ordered]) if ordered else F.array().cast("array<string>")
+    told = rows.withColumn("place", F.when(~F.col("held_out") & apart, F.array_position(names, F.col("lang")).cast("int"))).drop("lang")
+    for i, group in enumerate(groups or [[]]):
+        told = cross_entropies(told if i == 0 else told.join(rows.select("text", "text_hash").dropDuplicates(["text_hash"]), "text_hash"), models(counts, group))
+        told = saved(told, "entropies")
     best = F.array_position("entropies", F.array_min("entropies")).cast("int")
-    told = told.withColumns({"low": F.array_min("entropies"), "best": best}).withColumn("letters", (F.col("n_letters") > 0) & F.lit(bool(models)))
+    told = told.withColumns({"low": F.array_min("entropies"), "best": best}).withColumn("letters", (F.col("n_letters") > 0) & F.lit(bool(ordered)))
     known = told.where("place > 0 and letters")
     fits = {s: F.sum(F.log(F.greatest(F.lit(1e-12), F.when(F.col("place") == F.col("best"), likeliness(F.col("entropies"), s)).otherwise((1 - likeliness(F.col("entropies"), s)))))) for s in SHARPNESS}
     row = known.agg(*[x.alias(f"s{s}") for s, x in fits.items()]).first()
     sharp = max(SHARPNESS, key=lambda s: (row[f"s{s}"] if row[f"s{s}"] is not None else -np.inf, -s))
-    own_entropy = F.element_at("entropies", F.col("place"))
-    usual = known.where(F.col("n_letters") >= REJECT_LETTERS).groupBy("place").agg(F.avg(own_entropy).alias("mean"), F.stddev_pop(own_entropy).alias("sd")).collect()
     limit = F.lit(float("inf"))
-    for r in usual:  # a row for each language
-        limit = F.when(F.col("best") == r["place"], F.lit(r["mean"] + REJECT_SD * r["sd"] + REJECT_NATS)).otherwise(limit)
+    for (place, long), value in limits(known).items():
+        limit = F.when((F.col("best") == place) & ((F.col("n_letters") >= REJECT_LONG) == long), F.lit(value)).otherwise(limit)
     return told.select(
         "doc_id",
         "held_out",
@@ -197,8 +229,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
 
 
+def limits(known: DataFrame) -> dict[tuple[int, bool], float]:
+    """For each language's place, and for short and long texts, above which cross-entropy it rejects, from the calibrating rows (place, best, entropies, n_letters)."""
+    some = known.where(F.col("n_letters") >= REJECT_LETTERS).withColumn("long", F.col("n_letters") >= REJECT_LONG)
+    own = F.element_at("entropies", F.col("place"))
+    others = F.transform("entropies", lambda x, i: F.when(i + 1 != F.col("place"), x))  # array_min leaves out nulls
+    strange = F.array_min(others)
+    right = some.where("place = best").groupBy("place", "long").agg(F.avg(own).alias("mean"), F.percentile_approx(own, F.lit(1 - REJECT_RATE), F.lit(100_000)).alias("high")).collect()
+    wrong = some.groupBy(F.array_position(others, strange).cast("int").alias("best")).agg(F.avg(strange).alias("mean")).collect()
+    between = {r["best"]: r["mean"] for r in wrong if r["best"]}
+    return {(r["place"], r["long"]): max(r["high"] + REJECT_NATS, (r["mean"] + between[r["place"]]) / 2) for r in right if r["place"] in between}
+
+
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that aren't rejected, with all their columns."""
+    """The rows of docs that aren't rejected, with all their columns. Rows with null texts go; an empty table stays empty."""
     gone = saved(identify(docs, id_col, text_col, lang_col).where("rejected").select("doc_id", "text_hash").distinct(), "rejected")
     same = docs[id_col].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs[text_col]) == gone["text_hash"])
     return docs.join(small(gone), same, "left_anti")
