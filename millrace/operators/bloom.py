@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import MASK, bucket, modulo, u32, with_hashes
-from .join import estimated_bytes
 
 #: Bits of a block and of a word.
 BLOCK, WORD = 256, 32
 
-#: The filter is broadcast if its estimated size is at most this many bytes.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of filter that go to all tasks at once, and how often S is read for it at most; a larger filter is shuffled.
+BROADCAST_BYTES, MOST_PASSES = 16 << 20, 8
 
 #: Where a key's bits are: inside one block under a seed for each hash; inside one block, or over all bits, by two hashes; over all bits under a seed for each hash.
 LAYOUTS = ("blocked", "blocked_double", "double", "plain")
@@ -41,6 +40,17 @@ class Shape:
         bits = self.bits // self.segments if self.segments else self.bits
         return max(BLOCK, -(-bits // BLOCK) * BLOCK)
 
+    @property
+    def words(self) -> int:
+        """Words of all segments."""
+        return self.whole // WORD * max(1, self.segments)
+
+    @property
+    def passes(self) -> int:
+        """How often S is read so that no part of the filter that is sent is too large; 0 if that is too often."""
+        n = max(1, -(-8 * (self.words // 2) // max(1, BROADCAST_BYTES))) if BROADCAST_BYTES > 0 else MOST_PASSES + 1
+        return n if n <= MOST_PASSES else 0
+
 
 def with_bits(df: DataFrame, shape: Shape) -> DataFrame:
     """df with the segment __seg of its key, the block __block if there are any, and its bits __bit0, __bit1, ..., counted from the block's or else the filter's first."""
@@ -70,6 +80,19 @@ def build(r: DataFrame, shape: Shape, *by: str) -> DataFrame:
     return word.groupBy(*by, "seg", "word").agg(F.bit_or("bits").alias("bits"))
 
 
+def build_with_histogram(r: DataFrame, shape: Shape, partitions: int) -> DataFrame:
+    """(kind, place, value) from one reading of R: the words of a filter without segments, and the rows of each first-level bucket, empty ones too."""
+    rows = with_bits(r.where("key is not null").select("key"), shape)
+    base = F.col("__block") * BLOCK if "blocked" in shape.layout else F.lit(0).cast("bigint")
+    one = lambda bit: F.expr(f"shiftleft(1L, cast({bit} & {WORD - 1} as int))")
+    row = lambda kind, place, bits, n: F.struct(F.lit(kind).alias("kind"), place.cast("bigint").alias("place"), bits.cast("bigint").alias("bits"), F.lit(n).cast("bigint").alias("n"))
+    each = [row("word", F.shiftright(base + F.col(f"__bit{i}"), 5), one(f"__bit{i}"), 0) for i in range(shape.hashes)]
+    each.append(row("bucket", bucket(F.col("key"), partitions), F.lit(0), 1))
+    empty = r.sparkSession.range(partitions).select(F.lit("bucket").alias("kind"), F.col("id").alias("place"), F.lit(0).cast("bigint").alias("bits"), F.lit(0).cast("bigint").alias("n"))
+    spread = rows.select(F.explode(F.array(*each)).alias("x")).select("x.*").unionByName(empty)
+    return spread.groupBy("kind", "place").agg(F.when(F.col("kind") == "word", F.bit_or("bits")).otherwise(F.sum("n")).alias("value"))
+
+
 def merge(words: DataFrame) -> DataFrame:
     """One filter of several: the union of their bits. Every way to exchange filters between machines computes this; Spark does it by partial and final aggregation."""
     return words.groupBy("seg", "word").agg(F.bit_or("bits").alias("bits"))
@@ -89,31 +112,76 @@ def fill(words: DataFrame, shape: Shape) -> DataFrame:
     return words.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("bigint").alias("set_bits")).withColumns({"all_bits": F.lit(whole).cast("bigint"), "ratio": F.col("set_bits") / F.lit(float(whole))})
 
 
+def packed(words: DataFrame, shape: Shape, first: int, n: int) -> DataFrame:
+    """One row with an array of n numbers: pairs of the filter's words from the first pair on, zeros where it has no bits. Its size is bounded by BROADCAST_BYTES."""
+    at = F.col("seg") * (shape.whole // WORD) + F.col("word")
+    half = words.select(F.shiftright(at, 1).alias("place"), F.when(at.bitwiseAND(F.lit(1)) == 1, F.shiftleft("bits", 32)).otherwise(F.col("bits")).alias("bits"))
+    own = half.where((F.col("place") >= first) & (F.col("place") < first + n)).groupBy("place").agg(F.bit_or("bits").alias("bits"))
+    zeros = words.sparkSession.range(first, first + n, 1, 1).select(F.col("id").alias("place"), F.lit(0).cast("bigint").alias("bits"))
+    every = own.unionByName(zeros).groupBy("place").agg(F.bit_or("bits").alias("bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "bits"))), lambda x: x["bits"]).alias("filter"))
+
+
+def probed(s: DataFrame, words: DataFrame, shape: Shape, flag: str | None) -> DataFrame:
+    """passing() where S stays: each task gets the filter, or a part of it for each time that S is read, as one array in which it looks up its keys' bits."""
+    columns, n = s.columns, shape.words // 2
+    own = with_bits(s if flag else s.where("key is not null"), shape)
+    base = F.col("__seg") * F.lit(shape.whole)
+    if "blocked" in shape.layout:
+        base = base + F.col("__block") * F.lit(BLOCK)
+    if shape.passes > 1:  # whole blocks; a pass takes the keys whose block is in its part
+        if "blocked" not in shape.layout:
+            return shuffled(s, words, shape, flag)
+        step = -(-n // shape.passes // (BLOCK // 64)) * (BLOCK // 64)
+    else:
+        step = n
+    own = own.withColumn("__base", base)
+    out = None
+    for first in range(0, n, step):
+        many = min(step, n - first)
+        part = own if step >= n else own.where((F.col("__base") >= first * 64) & (F.col("__base") < (first + many) * 64))
+        bits = [F.col("__base") + F.col(f"__bit{i}") - F.lit(first * 64) for i in range(shape.hashes)]
+        array = packed(words, shape, first, many).scalar()
+        part = part.withColumns({f"__at{i}": x for i, x in enumerate(bits)})
+        test = F.col("key").isNotNull()
+        for i in range(shape.hashes):
+            word = F.get(array, F.shiftright(F.col(f"__at{i}"), 6).cast("int"))
+            test &= F.call_function("shiftrightunsigned", word, F.col(f"__at{i}").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        part = part.withColumn(flag, F.coalesce(test, F.lit(False))).select(*columns, flag) if flag else part.where(test).select(*columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def passing(s: DataFrame, words: DataFrame, shape: Shape, flag: str | None = None) -> DataFrame:
     """The rows of S whose key has all its bits in the filter; with `flag`, all rows, and whether they have.
 
-    In the blocked layouts one join brings a key its block, as eight words; in the others there is one join for each
-    hash. A small filter is broadcast, else both sides are shuffled by block, and Spark splits hot ones. Null keys pass
-    nothing. Without hashes every other row passes.
+    The filter's size follows from its shape alone. Up to BROADCAST_BYTES it goes to all tasks, and S is filtered where
+    it is, in one pass with its scan. Up to MOST_PASSES times that, S is read once for each part of the filter, which
+    costs less than to move it. Beyond, S moves once, to the filter's blocks. Null keys pass nothing. Without hashes
+    every other row passes.
     """
     if not shape.hashes:
         return s.withColumn(flag, F.col("key").isNotNull()) if flag else s.where("key is not null")
+    return probed(s, words, shape, flag) if shape.passes else shuffled(s, words, shape, flag)
+
+
+def shuffled(s: DataFrame, words: DataFrame, shape: Shape, flag: str | None) -> DataFrame:
+    """passing() by a join. In the blocked layouts one join brings a key its block, as eight words; in the others there is one join for each hash. Spark splits hot blocks."""
     columns = s.columns
     own = with_bits(s if flag else s.where("key is not null"), shape)
     test = F.col("key").isNotNull()
     has = lambda word, bit: F.call_function("shiftrightunsigned", word, F.col(bit).bitwiseAND(F.lit(WORD - 1)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    few = estimated_bytes(words) <= BROADCAST_BYTES
     if "blocked" in shape.layout:
         eight = BLOCK // WORD
         block = words.groupBy("seg", F.shiftright("word", 3).alias("block")).agg(*(F.max(F.when(F.col("word").bitwiseAND(F.lit(eight - 1)) == i, F.col("bits"))).alias(f"w{i}") for i in range(eight)))
         block = block.select(F.col("seg").alias("__s"), F.col("block").alias("__b"), F.array(*(F.coalesce(f"w{i}", F.lit(0).cast("bigint")) for i in range(eight))).alias("__words"))
-        own = own.join(F.broadcast(block) if few else block, (F.col("__seg") == F.col("__s")) & (F.col("__block") == F.col("__b")), "left" if flag else "inner")
+        own = own.join(block, (F.col("__seg") == F.col("__s")) & (F.col("__block") == F.col("__b")), "left" if flag else "inner")
         for i in range(shape.hashes):
             test &= has(F.get("__words", F.shiftright(f"__bit{i}", 5).cast("int")), f"__bit{i}")
     else:
         for i in range(shape.hashes):
             side = words.select(F.col("word").alias(f"__x{i}"), F.col("bits").alias(f"__bits{i}"))
-            own = own.join(F.broadcast(side) if few else side, F.shiftright(f"__bit{i}", 5) == F.col(f"__x{i}"), "left" if flag else "inner")
+            own = own.join(side, F.shiftright(f"__bit{i}", 5) == F.col(f"__x{i}"), "left" if flag else "inner")
             test &= has(F.col(f"__bits{i}"), f"__bit{i}")
     if flag:
         return own.withColumn(flag, F.coalesce(test, F.lit(False))).select(*columns, flag)
@@ -127,5 +195,5 @@ def candidate_rate(s: DataFrame, words: DataFrame, shape: Shape) -> DataFrame:
 
 
 def candidate_histogram(s: DataFrame, words: DataFrame, shape: Shape, partitions: int) -> DataFrame:
-    """(b1, candidates): rows of S that pass, by their first-level bucket; no row moves for it."""
+    """(b1, candidates): rows of S that pass, by their first-level bucket. Rows move only if the filter is shuffled."""
     return passing(s, words, shape).groupBy(bucket(F.col("key"), partitions).alias("b1")).agg(F.count("*").alias("candidates"))

@@ -56,6 +56,17 @@ def plan(sizes: DataFrame) -> DataFrame:
     )
 
 
+def exchanged(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows, with their slice and their place in it, with new ones by the plan: what a slice has beyond its target goes where another lacks it. The plan has fewer rows than twice the slices."""
+    moves = plan(sizes).select(F.col("src").alias("slice"), "dst", F.col("n").alias("__n"), "src_first", "dst_first")
+    moved = rows.join(F.broadcast(moves), "slice", "left").where(F.col("dst").isNull() | F.col("place").between(F.col("src_first"), F.col("src_first") + F.col("__n") - 1))
+    others = [c for c in rows.columns if c not in ("slice", "place")]
+    away = moved.where("dst is not null").select(*others, F.col("dst").alias("slice"), (F.col("dst_first") + F.col("place") - F.col("src_first")).alias("place"))
+    goal = targets(sizes).select("slice", "target")
+    stay = rows.join(F.broadcast(goal), "slice").where("place < target").select(*others, "slice", "place")
+    return stay.unionByName(away)
+
+
 def rebalanced(rows: DataFrame, partitions: int) -> DataFrame:
     """The rows in partitions of even size."""
     return rows.repartition(partitions)
@@ -73,6 +84,20 @@ def send_matrix(rows: DataFrame, first: int, slices: int) -> DataFrame:
     return counts.withColumn("first", before - F.col("n"))
 
 
+def sent(rows: DataFrame, first: int, slices: int) -> DataFrame:
+    """rows with the slice dst that owns their bucket, each owner's in one task, in the order of the slices that sent them; null keys go nowhere. Larger machines than a task holds are for Spark's joins, which need no owners."""
+    own = rows.where("key is not null").withColumn("dst", owner(F.col("key"), first, slices))
+    return own.repartitionByRange(slices, "dst").sortWithinPartitions("dst", "slice")
+
+
+def arrivals(rows: DataFrame) -> DataFrame:
+    """(dst, n, tasks, falls) of sent rows: each owner's rows, the tasks that hold them, and how often one comes before a row of an earlier slice."""
+    here = rows.select("dst", "slice", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("slice").over(W.partitionBy("task", "dst").orderBy("at"))
+    told = here.withColumn("falls", F.coalesce((before > F.col("slice")).cast("bigint"), F.lit(0)))
+    return told.groupBy("dst").agg(F.count("*").alias("n"), F.count_distinct("task").alias("tasks"), F.sum("falls").alias("falls"))
+
+
 def replicate_gate(build_rows: DataFrame, candidates: DataFrame, chunks: int, ratio: float) -> DataFrame:
     """(build, candidates, expected, replicate): whether R should be sent everywhere, from the first chunk's candidates times the chunks against R's rows. A ratio of 0 always says so, one below 0 never."""
     counts = build_rows.agg(F.count("*").alias("build")).withColumn("candidates", candidates.agg(F.count("*")).scalar())

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: R is replicated only if its estimated size is at most this many bytes; else both sides are shuffled.
-REPLICATE_BYTES = 64 << 20
+#: R is replicated only if its estimated size in memory is at most this many bytes; else both sides are shuffled.
+REPLICATE_BYTES = 256 << 20
+
+#: Bytes of a row of a replicated side with its place in the hash table; and, where the number of rows isn't known, how many times larger rows are than the files that they come from.
+ROW_BYTES, EXPANSION = 64, 8
 
 
 class Strategy(Enum):
@@ -29,18 +32,27 @@ def relation(df: DataFrame, key: str, val: str) -> DataFrame:
 
 
 def as_pairs(rel: DataFrame) -> DataFrame:
-    """(pair): key and value of each row side by side in one column."""
-    return rel.select(F.struct("key", "val").alias("pair"))
+    """(pair): key and value of each row, of 32 bits each, side by side in one number, the key in the upper half."""
+    return rel.select(F.shiftleft(F.col("key").cast("bigint"), 32).bitwiseOR(F.col("val").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))).alias("pair"))
+
+
+def from_pairs(pairs: DataFrame, keep: bool = False) -> DataFrame:
+    """(key, val) of as_pairs(); with `keep`, after the pair."""
+    key, val = F.shiftright("pair", 32).cast("int"), F.shiftright(F.shiftleft("pair", 32), 32).cast("int")
+    return pairs.select(*["pair"] * keep, key.alias("key"), val.alias("val"))
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def estimated_bytes(df: DataFrame, rows: int | None = None) -> int:
+    """What a side would take in memory: by its rows, if their number is known, else by the optimizer's figure, which for a scan is of compressed files."""
+    if rows is not None:
+        return rows * ROW_BYTES
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * EXPANSION
 
 
-def placed(r: DataFrame, s: DataFrame, strategy: Strategy, limit: int = REPLICATE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The two sides with the hint of a strategy. A side too large to replicate is shuffled instead."""
+def placed(r: DataFrame, s: DataFrame, strategy: Strategy, limit: int = REPLICATE_BYTES, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The two sides with the hint of a strategy; `rows` are those of R, if known. A side too large to replicate is shuffled instead."""
     if strategy is Strategy.REPLICATE_R:
-        return (F.broadcast(r), s) if estimated_bytes(r) <= limit else (r.hint("shuffle_hash"), s)
+        return (F.broadcast(r), s) if estimated_bytes(r, rows) <= limit else (r.hint("shuffle_hash"), s)
     if strategy is Strategy.REPLICATE_S:
         return (r, F.broadcast(s)) if estimated_bytes(s) <= limit else (r, s.hint("shuffle_hash"))
     if strategy is Strategy.SHUFFLE_HASH:
@@ -50,15 +62,15 @@ def placed(r: DataFrame, s: DataFrame, strategy: Strategy, limit: int = REPLICAT
     return r, s
 
 
-def inner_join(r: DataFrame, s: DataFrame, strategy: Strategy = Strategy.AUTO) -> DataFrame:
+def inner_join(r: DataFrame, s: DataFrame, strategy: Strategy = Strategy.AUTO, rows: int | None = None) -> DataFrame:
     """(key, r_val, s_val) of every pair of equal keys."""
-    r, s = placed(r.withColumnRenamed("val", "r_val"), s.withColumnRenamed("val", "s_val"), strategy)
+    r, s = placed(r.withColumnRenamed("val", "r_val"), s.withColumnRenamed("val", "s_val"), strategy, rows=rows)
     return s.join(r, "key").select("key", "r_val", "s_val")
 
 
-def match_count(r: DataFrame, s: DataFrame, strategy: Strategy = Strategy.AUTO) -> DataFrame:
+def match_count(r: DataFrame, s: DataFrame, strategy: Strategy = Strategy.AUTO, rows: int | None = None) -> DataFrame:
     """(matches). Only keys are read and moved."""
-    r, s = placed(r.select("key"), s.select("key"), strategy)
+    r, s = placed(r.select("key"), s.select("key"), strategy, rows=rows)
     return s.join(r, "key").agg(F.count("*").alias("matches"))
 
 
@@ -92,5 +104,6 @@ def capped(pairs: DataFrame, most: int) -> DataFrame:
 
 
 def capped_count(pairs: DataFrame, most: int) -> DataFrame:
-    """(matches, kept): the exact number of pairs, and how many a buffer of `most` rows takes."""
-    return pairs.agg(F.count("*").alias("matches")).withColumn("kept", F.least("matches", F.lit(most).cast("bigint")))
+    """(matches, kept): the exact number of pairs, and how many a buffer of `most` rows took."""
+    kept = capped(pairs, most).agg(F.count("*")).scalar()
+    return pairs.agg(F.count("*").alias("matches")).withColumn("kept", kept)

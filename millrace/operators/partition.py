@@ -22,6 +22,14 @@ def clustered(rel: DataFrame, first: int, second: int) -> DataFrame:
     return assigned(rel, first, second).repartition(first, "b1").sortWithinPartitions("b1", "b2")
 
 
+def order(rows: DataFrame) -> DataFrame:
+    """(b1, n, tasks, falls) of a dealt relation: rows of each first-level bucket, the tasks that hold them, and how often one comes before a row of a smaller second-level bucket. Each task's rows are looked at in the order in which it has them."""
+    here = rows.select("b1", "b2", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("b2").over(W.partitionBy("task", "b1").orderBy("at"))
+    told = here.withColumn("falls", F.coalesce((before > F.col("b2")).cast("bigint"), F.lit(0)))
+    return told.groupBy("b1").agg(F.count("*").alias("n"), F.count_distinct("task").alias("tasks"), F.sum("falls").alias("falls"))
+
+
 def histogram(rel: DataFrame, first: int) -> DataFrame:
     """(b1, cnt) of all first-level buckets, empty ones too."""
     rel = rel.where("key is not null")

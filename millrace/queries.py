@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.hashing import FIRST_FACTOR, SECOND_FACTOR, chunk_of, slice_of
@@ -13,7 +14,9 @@ from .operators import join as joins
 from .operators.join import Strategy, relation
 from .plans import sizing
 from .plans.run import run
-from .sources import generator
+from .sources import generator, raw
+from .sources.workspace import new_path
+from .streaming import chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -317,10 +320,8 @@ for _layout in bloom.LAYOUTS[1:]:
     select 'bucket', range, count(r.key) from range({FIRST}) left join ({URGENT}) r on {u32_sql("r.key")} % {FIRST} = range group by 2"""
 )
 def build_and_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filter's words and the buckets' counts, of one reading of R each; Spark shares the files' pages, not a pass."""
-    r = urgent(spark, sf_dir)
-    words = bloom.build(r, SHAPE).select(F.lit("word").alias("kind"), F.col("word").alias("place"), F.col("bits").alias("value"))
-    return words.unionByName(partition.histogram(r, FIRST).select(F.lit("bucket").alias("kind"), F.col("b1").alias("place"), F.col("cnt").alias("value")))
+    """The filter's words and the buckets' counts, of one reading of R."""
+    return bloom.build_with_histogram(urgent(spark, sf_dir), SHAPE, FIRST)
 
 
 @query(f"select count(*) as rows, p.rate, cast(trunc(-count(*) * ln(p.rate) / (ln(2) * ln(2))) as bigint) as bits, cast(trunc((-count(*) * ln(p.rate) / (ln(2) * ln(2))) / count(*) * ln(2)) as bigint) as hashes from ({URGENT}), (values (0.1::double), (0.01::double), (0.6::double)) p(rate) group by p.rate")
@@ -374,6 +375,24 @@ def redistribute_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribute.plan(candidate_sizes(spark, sf_dir))
 
 
+MEMBERS_SQL = f"select key, val, slice, row_number() over (partition by slice order by val) - 1 as place from (select *, {slice_sql('val', EV)} as slice from ({EV}) where key in (select key from ({URGENT})))"
+
+
+@query(
+    f"""with t as ({TARGETS_SQL}), m as ({MEMBERS_SQL}),
+    o as (select slice as src, target, cast(sum(n - target) over (order by slice) as bigint) - (n - target) as lo from t where n > target),
+    u as (select slice as dst, n, cast(sum(target - n) over (order by slice) as bigint) as hi, cast(sum(target - n) over (order by slice) as bigint) - (target - n) as lo from t where n < target)
+    select m.key, m.val, cast(m.slice as bigint) as slice, m.place from m join t on m.slice = t.slice where m.place < t.target
+    union all
+    select m.key, m.val, cast(u.dst as bigint), u.n + (o.lo + m.place - o.target - u.lo) from m join o on m.slice = o.src join u on o.lo + m.place - o.target >= u.lo and o.lo + m.place - o.target < u.hi where m.place >= o.target"""
+)
+def redistribute_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each slice's candidates, by their order in the slice, and where the plan sends them."""
+    s = joins.membership(sliced(events(spark, sf_dir), "val"), urgent(spark, sf_dir)).where("member").select("key", "val", "slice")
+    rows = s.withColumn("place", (F.row_number().over(W.partitionBy("slice").orderBy("val")) - 1).cast("bigint"))
+    return distribute.exchanged(rows, candidate_sizes(spark, sf_dir))
+
+
 @query(f"select cast(sum(n) as bigint) as total, max(n) as largest, case when sum(n) > 0 then max(n) / (sum(n) / count(*)::double) else 1 end as imbalance, sum(n) > 0 and max(n) / (sum(n) / count(*)::double) > 1.4 as rebalance from ({SIZES_SQL})")
 def skew_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribute.skew(candidate_sizes(spark, sf_dir), 1.4)
@@ -403,15 +422,75 @@ def chunked_join_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(customers(spark, sf_dir).select("key"), "key").groupBy("slice", "chunk").agg(F.count("*").alias("matches"))
 
 
-@query("select event_id as position, user_id as key, cast(event_id + 1 as int) as r_val, cast(event_id + 100000001 as int) as s_val from events")
+@query("select user_id as key, cast(event_id + 1 as int) as r_val, cast(event_id + 100000001 as int) as s_val from events")
 def synthetic_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that are made from positions, for a build and for a probe side."""
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("position"), F.col("user_id").alias("key"))
-    return rows.withColumns({"r_val": (F.col("position") + 1).cast("int"), "s_val": (F.col("position") + 100_000_001).cast("int")})
+    sides = [raw.payload(rows.withColumn("key", F.struct("position", "key")), x) for x in (raw.R_OFFSET, raw.S_OFFSET)]
+    return sides[0].withColumnRenamed("val", "r_val").join(sides[1].withColumnRenamed("val", "s_val"), "key").select("key.key", "r_val", "s_val")
+
+
+PAIR = "(cast(key as bigint) << 32) | (cast(val as bigint) & 4294967295)"
 
 
-@query(f"select key, val from ({R})")
+@query(f"select {PAIR} as pair, cast(key as int) as key, cast(val as int) as val from ({R})")
 def interleaved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.as_pairs(orders(spark, sf_dir)).select("pair.key", "pair.val")
+    """Keys and values side by side in one number, and what is read from it again."""
+    pairs = joins.as_pairs(orders(spark, sf_dir))
+    return joins.from_pairs(pairs, keep=True)
+
+
+@query("select position, key, r_val, s_val from (select o_orderkey as position, cast(o_custkey as int) as key, cast(o_orderkey + 1 as int) as r_val, cast(o_custkey * 7 - o_orderkey as int) as s_val from orders)")
+def raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, and keys with values, written as folders of raw parts by all tasks, and read again by ranges."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("position"), F.col("o_custkey").alias("key"), (F.col("o_custkey") * 7 - F.col("o_orderkey")).alias("val"))
+    read = []
+    for values in (False, True):
+        path = new_path(spark, "raw")
+        raw.write_parts(rows, path, values, rows=4000)
+        read.append(raw.read(spark, path, read_val=values))
+    return read[0].withColumnRenamed("val", "r_val").join(read[1].select("position", F.col("val").alias("s_val")), "position")
+
+
+@query(f"select key, val, {u32_sql('key')} % {FIRST} as b1, {u32_sql('key')} % {SECOND} as b2 from ({passing_sql(SHAPE)})")
+def filter_and_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What passes the filter, dealt by its buckets."""
+    r = urgent(spark, sf_dir)
+    return partition.clustered(bloom.passing(events(spark, sf_dir), bloom.build(r, SHAPE), SHAPE), FIRST, SECOND)
+
+
+@query(f"select {u32_sql('key')} % {FIRST} as b1, count(*) as n, cast(1 as bigint) as tasks, cast(0 as bigint) as falls from ({CUST}) group by 1")
+def clustered_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each first-level bucket its rows, the tasks that hold them, and how often a row there comes before one of a smaller second-level bucket."""
+    return partition.order(partition.clustered(customers(spark, sf_dir), FIRST, SECOND))
+
+
+@query(f"select ({u32_sql('key')} % {FIRST}) // {FIRST // SLICES} as dst, count(*) as n, cast(1 as bigint) as tasks, cast(0 as bigint) as falls from ({EV}) group by 1")
+def ordered_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each owner its rows after the exchange, the tasks that hold them, and how often a row there comes before one that an earlier slice sent."""
+    return distribute.arrivals(distribute.sent(sliced(events(spark, sf_dir), "val"), FIRST, SLICES))
+
+
+@query(pairs_sql(URGENT))
+def chunked_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of three chunks, whose pairs are united."""
+    options = sizing.Options(mode=2, rate=RATE, slices=SLICES, chunks=CHUNKS)
+    return run(urgent(spark, sf_dir), lineitem(spark, sf_dir), options).pairs
+
+
+@query(f"select cast(s.val % {CHUNKS} as bigint) as part, count(*) as matches from ({CUST}) r join ({EV}) s on r.key = s.key group by 1")
+def chunk_stream_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S as a stream of three files, a chunk each, joined as they come; matches of each file."""
+    source, out = new_path(spark, "stream"), new_path(spark, "matches")
+    events(spark, sf_dir).withColumn("part", F.col("val") % CHUNKS).repartition(CHUNKS, "part").sortWithinPartitions("part").write.partitionBy("part").parquet(source)
+    stream = spark.readStream.schema("key bigint, val bigint, part bigint").option("maxFilesPerTrigger", 1).parquet(source)
+    r = customers(spark, sf_dir)
+
+    def save(pairs: DataFrame, number: int) -> None:
+        pairs.groupBy((F.col("s_val") % CHUNKS).alias("part")).agg(F.count("*").alias("matches")).write.parquet(f"{out}/chunk={number}")
+
+    chunks.run_chunks(r, stream.select("key", "val"), new_path(spark, "progress"), save).awaitTermination()
+    return spark.read.schema("part bigint, matches bigint").parquet(f"{out}/*").groupBy("part").agg(F.sum("matches").alias("matches"))
 
 
 @query(f"select count(*) as matches, least(count(*), 50000) as kept from ({pairs_sql(CUST, EV)})")

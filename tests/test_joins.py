@@ -228,3 +228,56 @@ def test_metric_summary(spark):
     found = {r.metric: r for r in metrics.summary(spark.createDataFrame(rows, "pe int, metric string, seconds double")).collect()}
     assert (found["Read R"].max_seconds, found["Read R"].max_percent) == (3.0, None)
     assert (found["Probe"].max_percent, found["Probe"].mean_percent) == (50.0, 50.0)
+
+
+def exchanges(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("layout", bloom.LAYOUTS)
+def test_s_stays_where_it_is_if_the_filter_can_be_sent(spark, layout):
+    r, s = rel(spark, R).coalesce(1), spark.range(1000).select((F.col("id") - 5).alias("key"), F.col("id").alias("val"))
+    shape = bloom.Shape(4096, 3, layout)
+    plan = bloom.passing(s, bloom.build(r, shape), shape)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("scalar-subquery")[0] and shape.passes == 1
+
+
+@pytest.mark.parametrize("segments", [0, 8])
+def test_filters_in_parts_read_s_once_for_each(spark, monkeypatch, segments):
+    r = spark.range(3000).select((F.col("id") * 7 - 900).alias("key"), F.col("id").alias("val"))
+    s = spark.range(30_000).select((F.col("id") - 2000).alias("key"), F.col("id").alias("val"))
+    shape = bloom.Shape(32_768, 3, segments=segments)
+    words = bloom.build(r, shape)
+    whole = sorted(map(tuple, bloom.passing(s, words, shape, "in").collect()))
+    assert sum(x[2] for x in whole) >= 3000
+    monkeypatch.setattr(bloom, "BROADCAST_BYTES", 1 << 10)
+    assert shape.passes == 4
+    parts = bloom.passing(s, words, shape, "in")
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("Union") >= 1
+    assert sorted(map(tuple, parts.collect())) == whole
+    monkeypatch.setattr(bloom, "BROADCAST_BYTES", 64)
+    assert shape.passes == 0
+    moved = bloom.passing(s, words, shape)
+    assert exchanges(moved) <= 3  # S once, the filter's words and their blocks
+    assert sorted(map(tuple, moved.collect())) == [x[:2] for x in whole if x[2]]
+
+
+def test_runs_keep_candidates_only_for_a_gate(spark):
+    out = run(rel(spark, R), rel(spark, S), sizing.Options(mode=14, skew=1.4, replicate_ratio=4.5, first=16))
+    assert out.kept and out.candidates.is_cached
+    out.release()
+    assert not out.candidates.is_cached
+    assert not run(rel(spark, R), rel(spark, S), sizing.Options(mode=2)).kept
+
+
+def test_chunks_are_united(spark):
+    out = run(rel(spark, R), rel(spark, S), sizing.Options(mode=2, chunks=3))
+    assert sorted(map(tuple, out.pairs.collect())) == by_hand(R, S)
+    assert out.pairs._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_pairs_in_one_number(spark):
+    rows = [(0, 0), (-1, 5), (5, -1), (-(2**31), 2**31 - 1)]
+    packed = joins.as_pairs(rel(spark, rows))
+    assert sorted(r.pair for r in packed.collect()) == sorted((k << 32) | (v & 0xFFFFFFFF) for k, v in rows)
+    assert sorted(map(tuple, joins.from_pairs(packed).collect())) == sorted(rows)

@@ -85,3 +85,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "pairs")).count() == 100
     with pytest.raises(ValueError):
         main(["join", r, s, "--mode", "12"])
+
+
+@pytest.mark.parametrize("values", [False, True])
+def test_parts_are_read_in_order(spark, tmp_path, values):
+    rel = spark.range(1003).select(F.col("id").alias("position"), (1000 - 3 * F.col("id")).alias("key"), (F.col("id") * 5).alias("val")).repartition(4)
+    path = str(tmp_path / "parts")
+    raw.write_parts(rel, path, values, rows=100)
+    names = sorted(x.name for x in (tmp_path / "parts").iterdir())
+    assert names == [f"{i * 100:020d}.raw" for i in range(11)]
+    found = raw.read(spark, path, 1003, values).orderBy("position").collect()
+    assert [(r.position, r.key) for r in found] == [(i, 1000 - 3 * i) for i in range(1003)]
+    assert [r.val for r in found] == [5 * i if values else i + 1 for i in range(1003)]
+    with pytest.raises(FileExistsError):
+        raw.write_parts(rel, path, values)
+    with pytest.raises(Exception, match="1003 rows"):
+        raw.read(spark, path, 1004, values).count()
