@@ -116,7 +116,7 @@ def packed(words: DataFrame, shape: Shape, first: int, n: int) -> DataFrame:
     """One row with an array of n numbers: pairs of the filter's words from the first pair on, zeros where it has no bits. Its size is bounded by BROADCAST_BYTES."""
     at = F.col("seg") * (shape.whole // WORD) + F.col("word")
     half = words.select(F.shiftright(at, 1).alias("place"), F.when(at.bitwiseAND(F.lit(1)) == 1, F.shiftleft("bits", 32)).otherwise(F.col("bits")).alias("bits"))
-    own = half.where((F.col("place") >= first) & (F.col("place") < first + n)).groupBy("place").agg(F.bit_or("bits").alias("bits"))
+    own = half.where((F.col("place") >= first) & (F.col("place") < first + n))
     zeros = words.sparkSession.range(first, first + n, 1, 1).select(F.col("id").alias("place"), F.lit(0).cast("bigint").alias("bits"))
     every = own.unionByName(zeros).groupBy("place").agg(F.bit_or("bits").alias("bits"))
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "bits"))), lambda x: x["bits"]).alias("filter"))
@@ -135,7 +135,8 @@ def probed(s: DataFrame, words: DataFrame, shape: Shape, flag: str | None) -> Da
         step = -(-n // shape.passes // (BLOCK // 64)) * (BLOCK // 64)
     else:
         step = n
-    own = own.withColumn("__base", base)
+    # a column of which Catalyst can't know that it is always the same keeps the test above the hashes' projections; pushed below, it would hold each of them many times over
+    own = own.withColumn("__base", F.when(F.monotonically_increasing_id() >= 0, base))
     out = None
     for first in range(0, n, step):
         many = min(step, n - first)
