@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import io
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -19,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.workspace import new_path
+
 #: The ASCII capitals and their small letters, and ASCII white space.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -53,47 +53,45 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(path)
 
 
-def session(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches of the session by rows, as long texts make rows large, and lets a finished job's shuffle files go."""
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
-    return spark
+#: What the operators need of a session while they run: batches for Python bounded by rows, as long texts make rows large, and no files of shuffles that are done.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS_A_BATCH), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with other settings for what is run inside; then with its own again."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own (local mode, tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        jsc = spark.sparkContext._jsc.sc()
-        if not jsc.getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-        root = jsc.getCheckpointDir().get()
-    return root.rstrip("/")
 
+def operator(python_last: bool = False) -> Callable:
+    """Marks a function of a DataFrame or a session as an operator: the package is with the executors, and SETTINGS hold while it runs, not longer. Where the result's last step is Python code, which needs them too, the result is saved."""
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it goes when the driver ends."""
-    path = f"{work_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    atexit.register(delete, spark, path)
-    return path
+    def mark(f: Callable) -> Callable:
+        @wraps(f)
+        def run(first: DataFrame | SparkSession, *args: object, **more: object) -> DataFrame | None:
+            spark = first if isinstance(first, SparkSession) else first.sparkSession
+            ship(spark)
+            with settings(spark, SETTINGS):
+                out = f(first, *args, **more)
+                return saved(out, "result") if python_last else out
 
+        return run
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a path through Hadoop's file system, whatever store it is in; a session that has ended leaves it."""
-    with suppress(Exception):  # at the end of the program the session may be gone, or its JVM
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return mark
 
 
 @contextmanager
 def rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
     """Larger Arrow batches for what is run inside: rows of a few numbers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    try:
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}):
         yield
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
 
 
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, is_small, pick, saved, session, small
+from .common import LOWER, UPPER, ascii_lower, is_small, operator, pick, saved, small
 
 #: What stands between two words, in texts whose A-Z are small letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,6 +76,7 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step)["sum"]
 
 
+@operator()
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row, with the hit items in `items`.
 
@@ -83,7 +84,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_
     an id are kept; an empty benchmark hits nothing, an empty table gives an empty result. What is broadcast has a
     measured size, else Spark shuffles both sides and splits hot words.
     """
-    session(docs.sparkSession)
     rows, found = hits(pick(docs, id_col, text_col), item_windows(benchmark, size, item_col, item_text_col), size)
     spans = F.sort_array(F.collect_set(F.struct("start", "end")))
     items = F.sort_array(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda x: x.cast("string")))
@@ -101,9 +101,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_
     )
 
 
+@operator()
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no window of the benchmark, with all their columns."""
-    session(docs.sparkSession)
     found = hits(pick(docs, id_col, text_col), item_windows(benchmark, size, item_col, item_text_col), size)[1]
     gone = saved(found.select("doc_id", "row").distinct(), "contaminated")
     same = docs[id_col].eqNullSafe(gone["doc_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["row"])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mapped, mixed, rows_a_batch, saved, session, small
+from .common import mapped, mixed, operator, rows_a_batch, saved, small
 
 #: Links of a node in the upper layers; the lowest has twice as many.
 LINKS = 16
@@ -264,6 +264,7 @@ def searched(index: DataFrame, queries: DataFrame, shards: int, k: int, ef: int)
     return mapped(graphs.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id"), run, "query_id long, vec_id long, score double")
 
 
+@operator()
 def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, ef: int = EF_SEARCH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k others of the largest inner product that the graphs find.
 
@@ -272,7 +273,7 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, ef: int =
     least ids, so a vector that a third of all rows share is one point of the graph and its ties are exact: nearest
     first, then the smaller id. Every distinct vector is in the graph of its shard; an empty table gives an empty result.
     """
-    spark = session(vectors.sparkSession)
+    spark = vectors.sparkSession
     rows = saved(valid(vectors, id_col, vector_col), "vectors")
     same = W.partitionBy("v").orderBy("vec_id")
     # the limit on row numbers is applied before the shuffle too, so a hot vector sends k + 1 rows a task

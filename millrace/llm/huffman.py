@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mapped, partitions, pick, saved, session, slices
+from .common import mapped, operator, partitions, pick, saved, slices
 from .tokens import SLICE, WORDS_KEPT, encoder, with_end
 
 #: Longest code in bits; a decoding table has two to this power entries.
@@ -161,6 +161,7 @@ def global_counts(runs: DataFrame, vocabulary: int) -> np.ndarray:
     return counts
 
 
+@operator()
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of all rows, each document's followed by the end id, in ascending doc_id order.
 
@@ -172,7 +173,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, longest:
     Null and empty texts have the end id alone; rows of the same doc_id, and rows without one, which come first, are
     ordered by a hash of their text; an empty table gives files without blocks; other columns are ignored.
     """
-    spark = session(docs.sparkSession)
+    spark = docs.sparkSession
     vocabulary = max(encoder(tokenizer).vocabulary, end_id + 1)
     wide = 2 if vocabulary <= 1 << 16 else 4
     runs = saved(token_runs(docs, tokenizer, end_id, vocabulary, wide, id_col, text_col), "runs")
@@ -192,9 +193,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, longest:
     blocks.write.option("compression", "uncompressed").partitionBy("shard").parquet(f"{path}/blocks")
 
 
+@operator(python_last=True)
 def read(spark: SparkSession, path: str, longest: int = LONGEST, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of each document, decoded from the files. start counts the ids of all documents before it; ids are little-endian unsigned 32-bit integers."""
-    rows = session(spark).read.schema("id int, length int").parquet(f"{path}/code").collect()  # a row for each id of the vocabulary at most
+    rows = spark.read.schema("id int, length int").parquet(f"{path}/code").collect()  # a row for each id of the vocabulary at most
     code = Code(np.zeros(max([0, *(r["id"] for r in rows)]) + 1, np.uint8), longest)
     for r in rows:
         code.lengths[r["id"]] = r["length"]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, saved, session, slices, small
+from .common import mapped, operator, saved, slices, small
 from .words import held_out, letter_words
 
 #: Characters of an n-gram, and bits of one: whole code points, so an n-gram's key is its perfect hash in 63 bits.
@@ -122,6 +122,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return mapped(rows.select("text", "lang"), count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+@operator()
 def learn(rows: DataFrame) -> dict[str, Model]:
     """The models of all languages of (text, lang), with every n-gram of all rows."""
     counts = saved(gram_counts(rows), "grams")
@@ -183,6 +184,7 @@ def likeliness(entropies: Column, sharpness: float) -> Column:
     return 1 / F.aggregate(entropies, F.lit(0.0), lambda s, x: s + F.exp((low - x) * sharpness))
 
 
+@operator()
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, cross_entropy, rejected, text_hash) of each row.
 
@@ -196,7 +198,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     training rows all are `und`. Repeated rows are counted and scored row by row; rows without an id are scored, and
     learned from; an empty table gives an empty result.
     """
-    spark = session(docs.sparkSession)
+    spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     rows = rows.withColumns({"held_out": held_out(F.col("doc_id")), "text_hash": F.xxhash64("text")})
     apart = F.pmod("text_hash", F.lit(FIT_EACH)) == 0
@@ -241,6 +243,7 @@ def limits(known: DataFrame) -> dict[tuple[int, bool], float]:
     return {(r["place"], r["long"]): max(r["high"] + REJECT_NATS, (r["mean"] + between[r["place"]]) / 2) for r in right if r["place"] in between}
 
 
+@operator()
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns. Rows with null texts go; an empty table stays empty."""
     gone = saved(identify(docs, id_col, text_col, lang_col).where("rejected").select("doc_id", "text_hash").distinct(), "rejected")

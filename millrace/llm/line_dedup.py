@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANK, ascii_lower, mapped, partitions, pick, rows_a_batch, saved, session, slices, small
+from .common import BLANK, ascii_lower, mapped, operator, partitions, pick, rows_a_batch, saved, slices, small
 
 #: A line counts if its key has so many code points at least, and is dropped if so many documents hold it at least.
 LEAST_LENGTH, LEAST_DOCS = 40, 5
@@ -123,6 +123,7 @@ def runs(sorted_lines: DataFrame, least_docs: int) -> DataFrame:
     return mapped(sorted_lines, stream, RUNS)
 
 
+@operator(python_last=True)
 def keep_bitmaps(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, row, n_lines, keep): for each document that loses lines, a compressed bitmap of those it keeps.
 
@@ -133,7 +134,7 @@ def keep_bitmaps(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs:
     other columns, whatever their names, are ignored. Lines are dealt by ranges of (hash, document, place), so a line
     that a third of all documents share spreads over many tasks.
     """
-    spark = session(docs.sparkSession)
+    spark = docs.sparkSession
     found = saved(lines(keyed(docs, id_col, text_col), least_length), "lines", "lz4")
     order = ["h1", "h2", F.desc("doc"), "row", "pos"]
     with rows_a_batch(spark, 20_000):
@@ -175,6 +176,7 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", te
     return rows.join(small(bitmaps.select("doc", "row", "keep")), ["doc", "row"], "left").drop("doc", "row")
 
 
+@operator(python_last=True)
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of each row, by the bitmaps."""
 
@@ -193,13 +195,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 sums.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sums)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    bitmaps = saved(keep_bitmaps(docs, id_col=id_col, text_col=text_col), "bitmaps")
+    bitmaps = keep_bitmaps(docs, id_col=id_col, text_col=text_col)
     return mapped(with_bitmaps(docs, bitmaps, id_col, text_col), digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
+@operator(python_last=True)
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS) -> DataFrame:
     """docs with the dropped lines taken out of their texts; all rows and other columns stay, and null texts stay null."""
-    bitmaps = saved(keep_bitmaps(docs, least_length, least_docs, id_col, text_col), "bitmaps")
+    bitmaps = keep_bitmaps(docs, least_length, least_docs, id_col, text_col)
     others = [x for x in docs.columns if x not in (id_col, text_col)]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

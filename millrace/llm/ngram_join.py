@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mixed, partitions, pick, rows_a_batch, saved, session, slices, small
+from .common import mapped, mixed, operator, partitions, pick, rows_a_batch, saved, slices, small
 from .components import components
 
 #: Words of an n-gram; the similarity from which on documents are linked, as a fraction.
@@ -259,7 +259,7 @@ def verified(docs: DataFrame, wanted: DataFrame, words: int, similar: tuple[int,
 
 def linked(docs: DataFrame, id_col: str, text_col: str, words: int, similar: tuple[int, int]) -> DataFrame:
     """(doc_id, row, class_id, n_links) of each row as link says; row is the text's hash."""
-    spark = session(docs.sparkSession)
+    spark = docs.sparkSession
     bands, rows = bands_and_rows(similar[0] / similar[1])
     texts = pick(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
     own = saved(sketches(texts, words, bands, rows), "sketches")
@@ -282,6 +282,7 @@ def linked(docs: DataFrame, id_col: str, text_col: str, words: int, similar: tup
     return own.select("doc_id", "row", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(small(told), "key", "left").select("doc_id", "row", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
+@operator()
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(doc_id, class_id, n_links) of each row: the smallest doc_id that it is linked to directly or through others, and how many other rows it is linked to.
 
@@ -297,6 +298,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     return linked(docs, id_col, text_col, words, similar).select("doc_id", "class_id", "n_links")
 
 
+@operator()
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that no smaller doc_id is linked to; all columns stay. Of repeated rows of one id and text all stay or none; of different texts of one id each by itself. Rows without an id stay."""
     gone = saved(linked(docs, id_col, text_col, WORDS, SIMILAR).where("class_id != doc_id").select("doc_id", "row").distinct(), "copies")

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, pick, saved, session, slices
+from .common import mapped, operator, pick, saved, slices
 from .tokens import SLICE, encoder, with_end
 
 #: Bins that stay open in one group of pieces.
@@ -117,6 +117,7 @@ def pack(cut: DataFrame, size: int, open_bins: int = OPEN_BINS, group: int = GRO
     return full.unionByName(mapped(dealt, fill, f"{PIECES}, sequence_id long, offset long"))
 
 
+@operator(python_last=True)
 def best_fit(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs the ids of all rows into sequences of at most `size` ids.
 
@@ -125,5 +126,4 @@ def best_fit(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024,
     as much room, the last that came to have it is taken; an empty table gives an empty result; other columns are
     ignored, whatever their names.
     """
-    session(docs.sparkSession)
     return pack(saved(pieces(docs, tokenizer, end_id, size, id_col, text_col), "pieces"), size)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import mapped, pick, session, slices
+from .common import mapped, operator, pick, slices
 
 #: The shapes of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -94,6 +94,7 @@ def written(found: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in found)
 
 
+@operator(python_last=True)
 def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row; spans are kind:start:end in code points.
 
@@ -118,5 +119,4 @@ def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col:
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    session(docs.sparkSession)
     return mapped(pick(docs, id_col, text_col), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import mapped, pick, session, slices
+from .common import mapped, operator, pick, slices
 
 #: Characters after which a long text is split at the next safe place.
 LONG = 1 << 15
@@ -49,6 +49,7 @@ def split(text: str, long: int = LONG) -> list[str]:
     return [*parts, text[at:]]
 
 
+@operator(python_last=True)
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row.
 
@@ -66,5 +67,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str
             n = np.add.reduceat(lengths, np.cumsum(many) - many)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    session(docs.sparkSession)
     return mapped(pick(docs, id_col, text_col), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

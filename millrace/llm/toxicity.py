@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import mapped, partitions, saved, session, slices, small, stored_bytes
+from .common import mapped, operator, partitions, saved, slices, small, stored_bytes
 from .words import held_out, letter_words
 
 #: The model is broadcast whole if its tables take at most so many stored bytes; else it is joined to shares of the rows.
@@ -322,6 +322,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) ->
     return max(0.0, float(weights[0])), float(weights[1])
 
 
+@operator()
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted, log_ratio, mean_log_ratio, n_letter_words) of each row.
 
@@ -338,7 +339,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     row; rows without an id have no label. An empty table gives an empty result. Counts are taken over all training
     rows and grow with them.
     """
-    session(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     marks = saved(labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "marks")
     marked = rows.where("not held_out").join(small(marks), "doc_id").withColumn("key", F.xxhash64("text"))
