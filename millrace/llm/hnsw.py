@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mapped, mixed, operator, rows_a_batch, saved, small
 
@@ -22,8 +23,8 @@ EF_BUILD, EF_SEARCH = 64, 128
 #: Candidates that are expanded at once for each query; nodes put in, or queries searched, side by side.
 EXPAND, TOGETHER = 4, 256
 
-#: Vectors of a shard: as few as the first, unless that makes more shards than the second, but never more than the third.
-SHARD_LEAST, SHARDS, SHARD_MOST = 8192, 64, 1 << 18
+#: Vectors of a shard: as few as the first, unless that makes more shards than the second, but never more than the third, nor than the bytes, which a row holds.
+SHARD_LEAST, SHARDS, SHARD_MOST, SHARD_BYTES = 8192, 64, 1 << 18, 512 << 20
 
 NEAREST, EVERY = 20, 20
 
@@ -175,17 +176,24 @@ def levels(ids: np.ndarray) -> np.ndarray:
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part: no null or zero vector, no null or non-finite component, and as many components as most have. Of rows of one id the least vector counts."""
-    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<float>").alias("v")).where("vec_id is not null and size(v) > 0")
+    """(vec_id, v) of the rows that take part: no null or zero vector, no null or non-finite component, and as many components as most have. Of rows of one id the least vector counts. Components keep their precision, of 32 bits or 64."""
+    kind = "double" if isinstance(vectors.schema[vector_col].dataType.elementType, T.DoubleType) else "float"
+    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast(f"array<{kind}>").alias("v")).where("vec_id is not null and size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(fine).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float")))
+    rows = rows.where(fine).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast(kind)))
     size = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
     rows = rows.where(F.size("v") == (size["size"] if size else 0))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
+def kind_of(vectors: DataFrame) -> str:
+    """The components as they lie in a graph's row."""
+    return "<f8" if isinstance(vectors.schema["v"].dataType.elementType, T.DoubleType) else "<f4"
+
+
 def build(vectors: DataFrame, shards: int) -> DataFrame:
     """(shard, ids, vectors, links): a row for each shard, written to the shared folder."""
+    kind = kind_of(vectors)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -197,7 +205,7 @@ def build(vectors: DataFrame, shards: int) -> DataFrame:
                 order = np.lexsort((ids, -level))
                 graph = Graph.build(own[order], level[order])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int32()), pa.array([ids[order].astype("<i8").tobytes()]), pa.array([own[order].astype("<f4").tobytes()]), pa.array([[x.astype("<i4").tobytes() for x in graph.links]], pa.list_(pa.binary()))],
+                    [pa.array([shard], pa.int32()), pa.array([ids[order].astype("<i8").tobytes()]), pa.array([own[order].astype(kind).tobytes()]), pa.array([[x.astype("<i4").tobytes() for x in graph.links]], pa.list_(pa.binary()))],
                     names=["shard", "ids", "vectors", "links"],
                 )
             held.clear()
@@ -218,7 +226,8 @@ def build(vectors: DataFrame, shards: int) -> DataFrame:
 
 
 def searched(index: DataFrame, queries: DataFrame, shards: int, k: int, ef: int) -> DataFrame:
-    """(query_id, vec_id, score): the k nearest that each shard finds for each query. Queries go to every shard, and follow its graph in the same stream."""
+    """(query_id, vec_id, score): the k nearest that each shard finds for each query. Queries go to every shard, and follow its graph in the same stream. Graphs are walked in 32 bits; scores are of the vectors as they are."""
+    kind = kind_of(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = own = ids = None
@@ -248,7 +257,7 @@ def searched(index: DataFrame, queries: DataFrame, shards: int, k: int, ef: int)
                     yield from answer()
                     row = part.to_pylist()[0]
                     ids = np.frombuffer(row["ids"], "<i8")
-                    own = np.frombuffer(row["vectors"], "<f4").reshape(len(ids), -1)
+                    own = np.frombuffer(row["vectors"], kind).reshape(len(ids), -1)
                     lengths = (own.astype(np.float64) ** 2).sum(1)
                     points = np.concatenate([own, np.sqrt(np.maximum(lengths.max() - lengths, 0))[:, None]], 1).astype(np.float32)
                     graph = Graph(points, [np.frombuffer(x, "<i4").reshape(-1, LINKS * (1 + (i == 0))) for i, x in enumerate(row["links"])], len(ids))
@@ -259,7 +268,7 @@ def searched(index: DataFrame, queries: DataFrame, shards: int, k: int, ef: int)
         yield from answer()
 
     none = F.lit(None)
-    graphs = index.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("vec_id"), none.cast("array<float>").alias("v"), "ids", "vectors", "links")
+    graphs = index.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("vec_id"), none.cast(queries.schema["v"].dataType).alias("v"), "ids", "vectors", "links")
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v", none.cast("binary").alias("ids"), none.cast("binary").alias("vectors"), none.cast("array<binary>").alias("links"))
     return mapped(graphs.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id"), run, "query_id long, vec_id long, score double")
 
@@ -271,7 +280,8 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, ef: int =
     Null and zero vectors, and those with a null or non-finite component or an unusual number of them, take no part;
     nor do rows without an id; of rows of one id the least vector counts. Equal vectors are one node, with its k + 1
     least ids, so a vector that a third of all rows share is one point of the graph and its ties are exact: nearest
-    first, then the smaller id. Every distinct vector is in the graph of its shard; an empty table gives an empty result.
+    first, then the smaller id. Every distinct vector is in the graph of its shard, and very long vectors have smaller
+    shards; other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = saved(valid(vectors, id_col, vector_col), "vectors")
@@ -281,7 +291,9 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, ef: int =
     members = saved(members, "members")
     heads = members.where("n = 1").select("vec_id", "v")
     n = heads.count()
-    size = min(SHARD_MOST, max(SHARD_LEAST, -(-n // SHARDS)))
+    wide = heads.select(F.size("v").alias("n")).first()
+    room = max(1, SHARD_BYTES // (8 * (wide["n"] if wide else 1)))
+    size = min(SHARD_MOST, room, max(SHARD_LEAST, -(-n // SHARDS)))
     shards = max(1, -(-n // size))
     index = build(heads, shards)
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)

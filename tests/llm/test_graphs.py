@@ -71,3 +71,26 @@ def test_components_of_a_random_graph(spark):
     expected = {x: top(x) for a, b in edges if a != b for x in (a, b)}
     assert {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()} == expected
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_doubles_keep_their_precision(spark):
+    rows = [(i, [1.0 + i * 2.0**-40, 3.0 - i]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([r[1] for r in rows])
+    for r in hnsw.nearest(frame).collect():
+        assert r.score == float(x[r.query_id] @ x[r.vec_id])
+
+
+def test_long_vectors_have_small_shards(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(y)) for y in v]) for i, v in enumerate(rng.normal(size=(120, 16)))]
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 8 * 16 * 30)
+    seen = []
+    real = hnsw.build
+    monkeypatch.setattr(hnsw, "build", lambda vectors, shards: seen.append(shards) or real(vectors, shards))
+    expected = by_hand(rows)
+    found = {}
+    for r in hnsw.nearest(frame(spark, rows)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert seen == [4]
+    assert sum(len(found[q] & {v for v, _ in own}) for q, own in expected.items()) >= 0.9 * 20 * len(expected)
