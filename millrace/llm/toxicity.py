@@ -11,11 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import mapped, operator, partitions, saved, slices, small, stored_bytes
+from .common import mapped, operator, partitions, release, saved, slices, small, stored_bytes
 from .words import held_out, letter_words
 
 #: The model is broadcast whole if its tables take at most so many stored bytes; else it is joined to shares of the rows.
-MODEL_BYTES = 96 << 20
+MODEL_BYTES = 64 << 20
 
 #: Stored bytes of rows in a share.
 SHARE_BYTES = 16 << 20
@@ -186,8 +186,8 @@ def by_model(rows: DataFrame, n: int, words: DataFrame, pairs: DataFrame | None,
     """use(model, rows) for slices of rows: by broadcast if the model's tables are small, else share by share."""
     if sum(stored_bytes(x) for x in (words, pairs) if x is not None) > MODEL_BYTES:
         return beside(shared_out(rows, n), n, words, pairs, unseen, use, schema)
-    whole = model(words.toArrow(), pairs.toArrow() if pairs is not None else None, unseen)
-    shared = rows.sparkSession.sparkContext.broadcast(whole)
+    shared = rows.sparkSession.sparkContext.broadcast(model(words.toArrow(), pairs.toArrow() if pairs is not None else None, unseen))
+    release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -342,9 +342,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     marks = saved(labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "marks")
     marked = rows.where("not held_out").join(small(marks), "doc_id").withColumn("key", F.xxhash64("text"))
-    first = saved(marked.select("key", "doc_id", "toxic").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "firsts")
+    each = marked.select("key", "doc_id", "toxic").groupBy("key", "doc_id").agg(F.max("toxic").alias("toxic"), F.count("*").alias("n"))
+    first = saved(each.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.max("n").alias("most")), "firsts")
     apart = F.pmod("key", F.lit(FIT_EACH)) == 0
-    train = rows.where("not held_out").withColumn("key", F.xxhash64("text")).join(small(first.where(~apart)), ["key", "doc_id"]).drop("key").dropDuplicates(["doc_id", "text"])
+    train = rows.where("not held_out").withColumn("key", F.xxhash64("text")).join(small(first.where(~apart)), ["key", "doc_id"])
+    if not first.where(~apart & (F.col("most") > 1)).isEmpty():  # only texts of rows that may repeat move
+        train = train.where("most = 1").unionByName(train.where("most > 1").dropDuplicates(["doc_id", "text"]))
+    train = train.select("doc_id", "text", "toxic")
     classes = {r["toxic"]: r["count"] for r in first.groupBy("toxic").count().collect()}
     usual = classes.get(1, 0) / max(1, sum(classes.values()))
     counts = {r["toxic"] for r in first.where(~apart).select("toxic").distinct().collect()}
@@ -359,7 +363,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "key", "held_out")), pa.array(top), pa.array(mean), pa.array(many)], names=["doc_id", "key", "held_out", "top", "mean", "many"])
 
     told = saved(by_model(rows.withColumn("key", F.xxhash64("text")), n, words, pairs, unseen, score, "doc_id long, key long, held_out boolean, top double, mean double, many long"), "scores")
-    kept = told.where("not held_out and many > 0").join(small(first.where(apart)), ["doc_id", "key"]).select("key", "top", "toxic").distinct()
+    kept = told.where("not held_out and many > 0").join(small(first.where(apart).drop("most")), ["doc_id", "key"]).groupBy("key").agg(F.min("top").alias("top"), F.max("toxic").alias("toxic"))
     some = kept.orderBy(F.xxhash64("key"), "key").limit(fit_rows).toPandas()
     if some["toxic"].nunique() < 2:
         slope, start = float(PASSAGE), float(np.log(max(usual, 1e-6) / max(1 - usual, 1e-6)))
