@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import mapped, mixed, operator, partitions, pick, rows_a_batch, saved, slices, small
@@ -28,6 +29,9 @@ ESTIMATE = 0.55
 #: Rows of a bucket, or of a group of candidates, that are compared as one block; larger ones are dealt into pairs of blocks.
 BUCKET_BLOCK, GROUP_BLOCK = 512, 256
 
+#: Steps of distance to a group's head, over all distances.
+STEPS = 100
+
 #: Distinct n-grams in a column block of the verification.
 COLUMNS = 4096
 
@@ -199,18 +203,58 @@ def compare(batches: Iterator[pa.RecordBatch], keys: list[str], similar: Callabl
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["u", "v"])
 
 
+def across(few: DataFrame, many: DataFrame, block: int, size: int, key: str) -> DataFrame:
+    """Rows of few and many, of groups of known sizes in both (columns n_few, n_many), dealt into tasks (key, i, j) of about two blocks, in one of which each of few meets each of many."""
+    own = lambda n: F.pmod(F.xxhash64(key, "cid"), F.ceil(F.col(n) / block)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / block).cast("int") - 1))
+    left = few.withColumns({"i": own("n_few"), "side": F.lit(0)}).withColumn("j", every("n_many"))
+    right = many.withColumns({"j": own("n_many"), "side": F.lit(1)}).withColumn("i", every("n_few"))
+    both = left.unionByName(right).withColumn("j", -1 - F.col("j")).drop("n_few", "n_many")  # never equal to i
+    return both.repartition(size, key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
 def candidates(classes: DataFrame, hashes: int, size: int) -> DataFrame:
-    """(u, v): a forest of the classes that share a bucket and look alike there."""
+    """(u, v): a forest of the classes that share a bucket and look alike there.
+
+    In a bucket of more than a block all classes are held against its head, the one with the least cid, first. Those
+    that look like it are linked by that; only the others still meet each other, and those. So a bucket of near copies
+    costs as much as it has rows.
+    """
     slim = classes.select("cid", F.explode("bands").alias("bucket"))
-    full = slim.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = slim.join(full, "bucket").join(classes.select("cid", "sig"), "cid")
+    full = slim.groupBy("bucket").agg(F.count("*").alias("members"), F.min("cid").alias("head")).where("members > 1")
+    full = saved(full, "buckets", "lz4")
+    sigs = classes.select("cid", "sig")
     least = math.ceil(ESTIMATE * hashes)
 
     def alike(table: pa.Table) -> np.ndarray:
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(table.num_rows, -1)
         return np.concatenate([(sig[k : k + 32, None, :] == sig[None, :, :]).sum(2) >= least for k in range(0, len(sig), 32)])
 
-    return mapped(in_groups(members, size, BUCKET_BLOCK, "bucket"), lambda x: compare(x, ["bucket", "i", "j"], alike, False), "u long, v long")
+    def like_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig, head = (np.frombuffer(b"".join(batch.column(x).to_pylist()), "<u2").reshape(batch.num_rows, -1) for x in ("sig", "head_sig"))
+                near = (sig == head).sum(1) >= least
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("bucket", "cid", "head", "members")), pa.array(near)], names=["bucket", "cid", "head", "members", "near"])
+
+    def forests(rows: DataFrame) -> DataFrame:
+        return mapped(rows, lambda x: compare(x, ["bucket", "i", "j"], alike, False), "u long, v long")
+
+    usual = slim.join(full.where(F.col("members") <= BUCKET_BLOCK).drop("head"), "bucket").join(sigs, "cid")
+    out = forests(in_groups(usual, size, BUCKET_BLOCK, "bucket"))
+    large = full.where(F.col("members") > BUCKET_BLOCK)
+    if large.isEmpty():
+        return out
+    heads = saved(large.join(sigs.withColumnRenamed("cid", "head"), "head").select("bucket", "head", "members", F.col("sig").alias("head_sig")), "heads", "lz4")
+    told = saved(mapped(slim.join(small(heads), "bucket").join(sigs, "cid"), like_head, "bucket long, cid long, head long, members long, near boolean"), "told", "lz4")
+    out = out.unionByName(told.where("near and cid != head").select(F.col("cid").alias("u"), F.col("head").alias("v")))
+    far = saved(told.where("not near").groupBy("bucket").agg(F.count("*").alias("n_few"), (F.first("members") - F.count("*")).alias("n_many")), "far", "lz4")
+    if far.isEmpty():
+        return out
+    rest = told.join(small(far), "bucket").join(sigs, "cid").select("bucket", "cid", "sig", "near", "n_few", "n_many")
+    apart = rest.where("not near").select("bucket", "cid", "sig", F.col("n_few").alias("members"))
+    out = out.unionByName(forests(in_groups(apart, size, BUCKET_BLOCK, "bucket")))
+    return out.unionByName(forests(across(rest.where("not near").drop("near"), rest.where("near").drop("near"), BUCKET_BLOCK, size, "bucket")))
 
 
 def similar_sets(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> np.ndarray:
@@ -250,11 +294,62 @@ def verified(docs: DataFrame, wanted: DataFrame, words: int, similar: tuple[int,
             columns = [batch.column(x) for x in ("cid", "size", "comp", "members")] + [pa.array([x.tobytes() for x in own], pa.binary())]
             yield pa.RecordBatch.from_arrays([x.filter(right) for x in columns], names=["cid", "size", "comp", "members", "grams"])
 
-    own, of = docs.alias("d"), small(wanted).alias("w")
-    same = (F.col("d.row") == F.col("w.row")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-    texts = mapped(own.join(of, same).select("d.text", "w.*"), sets, "cid long, size long, comp long, members long, grams binary")
+    def texts(some: DataFrame) -> DataFrame:
+        own, of = docs.alias("d"), small(some).alias("w")
+        same = (F.col("d.row") == F.col("w.row")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
+        return mapped(own.join(of, same).select("d.text", "w.*"), sets, "cid long, size long, comp long, members long, grams binary")
+
     exact = lambda table: similar_sets([np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()], similar)
-    return mapped(in_groups(texts, size, GROUP_BLOCK, "comp"), lambda x: compare(x, ["comp", "i", "j"], exact, True), "u long, v long, classes long, docs long")
+    counted = lambda rows: mapped(rows, lambda x: compare(x, ["comp", "i", "j"], exact, True), "u long, v long, classes long, docs long")
+    large = wanted.where(F.col("members") > GROUP_BLOCK)
+    if large.isEmpty():
+        return counted(in_groups(texts(wanted), size, GROUP_BLOCK, "comp"))
+    usual = saved(wanted.where(F.col("members") <= GROUP_BLOCK), "usual", "lz4")
+    near, rest = by_distance(saved(texts(saved(large, "large", "lz4")), "sets"), similar, size)
+    return counted(in_groups(texts(usual), size, GROUP_BLOCK, "comp")).unionByName(near).unionByName(counted(rest))
+
+
+def by_distance(sets: DataFrame, similar: tuple[int, int], size: int) -> tuple[DataFrame, DataFrame]:
+    """For the saved sets of large groups: the links that distances to a head make certain, as verified gives them, and the rest, dealt into blocks to compare.
+
+    One less the Jaccard similarity is a metric. So of a group whose sets are all held against its head, the set with
+    the least cid, two are linked for certain if their distances to it add up to no more than a link's, and aren't if
+    they differ by more. Only sets whose steps of distance leave both open meet in blocks. Near copies of one text that
+    differ little from it are so counted without any pair being compared, and no link is guessed.
+    """
+    first = sets.groupBy("comp").agg(F.min("cid").alias("cid"))
+    heads = saved(sets.join(F.broadcast(first), ["comp", "cid"]).select("comp", F.col("cid").alias("head"), F.col("grams").alias("head_grams")), "heads")
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column("grams").to_pylist(), batch.column("head_grams").to_pylist(), strict=True):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                union = len(a) + len(b) - common
+                out.append(STEPS * (union - common) // union)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("cid", "size", "comp", "head")), pa.array(out, pa.int32())], names=["cid", "size", "comp", "head", "step"])
+
+    told = saved(mapped(sets.join(small(heads), "comp"), steps, "cid long, size long, comp long, head long, step int"), "steps", "lz4")
+    # of each group a row for each step, of which there are STEPS + 1 at most
+    each = told.groupBy("comp", "step").agg(F.count("*").alias("n"), F.sum("size").alias("docs"))
+    before = F.sum("blocks").over(W.partitionBy("comp").orderBy("step")) - F.col("blocks")
+    each = each.withColumn("blocks", F.ceil(F.col("n") / GROUP_BLOCK).cast("int")).withColumn("first", before.cast("int"))
+    plans = saved(each.groupBy("comp").agg(F.collect_list(F.struct("step", "n", "docs", "blocks", "first")).alias("plan")), "plans", "lz4")
+    link = STEPS * (similar[1] - similar[0])
+    linked = lambda a, b: (a + b + 2) * similar[1] <= link
+    open_ = lambda a, b: ~linked(a, b) & ((F.abs(a - b) - 1) * similar[1] < link)
+    rows = told.join(small(plans), "comp")
+    sure = lambda field: F.aggregate(F.filter("plan", lambda x: linked(x["step"], F.col("step"))), F.lit(0).cast("long"), lambda s, x: s + x[field])
+    own = linked(F.col("step"), F.col("step")).cast("long")
+    counts = rows.select(F.col("cid").alias("u"), F.lit(None).cast("long").alias("v"), (sure("n") - own).alias("classes"), (sure("docs") - own * F.col("size")).alias("docs"))
+    edges = told.where(linked(F.col("step"), F.lit(0)) & (F.col("cid") != F.col("head"))).select(F.col("cid").alias("u"), F.col("head").alias("v"), F.lit(0).cast("long").alias("classes"), F.lit(0).cast("long").alias("docs"))
+    here = F.filter("plan", lambda x: x["step"] == F.col("step"))[0]
+    blocks = F.flatten(F.transform(F.filter("plan", lambda x: open_(x["step"], F.col("step"))), lambda x: F.sequence(x["first"], x["first"] + x["blocks"] - 1)))
+    dealt = rows.select("cid", "comp", "size", (here["first"] + F.pmod(F.xxhash64("comp", "cid"), here["blocks"])).cast("int").alias("own"), F.explode(blocks).alias("other"))
+    dealt = dealt.select("cid", "comp", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    rest = dealt.join(sets.select("cid", "grams"), "cid")
+    return counts.unionByName(edges), rest.repartition(size, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
 
 
 def linked(docs: DataFrame, id_col: str, text_col: str, words: int, similar: tuple[int, int]) -> DataFrame:
@@ -291,7 +386,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     form a class, and only classes are compared; a class's own rows are links of each other, and are never paired.
     Classes meet in buckets of equal bands; those that also look alike there form groups, in which all pairs are
     verified on the full sets and only counted, block by block, so hot buckets and groups stay within bounds and lose
-    nothing. Null texts and texts without words are linked to none; a class_id is null for a lone row without an id;
+    nothing. In large ones, distances to a head settle most pairs without comparing them. Very long texts are read
+    whole; ties don't arise, as the smallest doc_id is one; other columns, whatever their names, are ignored. Null texts and texts without words are linked to none; a class_id is null for a lone row without an id;
     rows without an id are never a class's smallest; repeated rows are rows of their own; an empty table gives an empty
     result.
     """
