@@ -126,22 +126,8 @@ def unplanes(raw: bytes, wide: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).reshape(-1).view(f"<u{wide}")
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, wide: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tie, ids) of each row, where it is: ids with the end id, as planes. tie is a hash of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2 * SLICE):
-            ids, lengths = with_end(*encoder(tokenizer, 2 * WORDS_KEPT).encode(batch.column("text")), end_id)
-            ends = np.cumsum(lengths)
-            own = [planes(ids[a:b], wide) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(own, pa.binary())], names=["doc_id", "tie", "ids"])
-
-    rows = pick(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    return mapped(rows, run, "doc_id long, tie long, ids binary")
-
-
-def token_runs(rows: DataFrame, shards: int, vocabulary: int, wide: int) -> DataFrame:
-    """The encoded rows in ascending doc_id order, in runs that each become a block: their ids, and where in its shard each run begins. The last row of a shard has no run, but how often each id occurs in the shard."""
+def token_runs(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, wide: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows in ascending doc_id order, in runs that each become a block: their ids, and where in its shard each run begins. The last row of a shard has no run, but how often each id occurs in the shard."""
     arrow = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int32())), ("ids", pa.binary()), ("counted", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
     def row(*values: object) -> pa.RecordBatch:
@@ -149,9 +135,8 @@ def token_runs(rows: DataFrame, shards: int, vocabulary: int, wide: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, first, total = TaskContext.get().partitionId(), 0, np.zeros(vocabulary, np.int64)
-        for batch in slices(batches, "ids"):
-            each = [unplanes(x.as_py(), wide) for x in batch.column("ids")]
-            lengths, ids = np.array([len(x) for x in each], np.int64), np.concatenate(each)
+        for batch in slices(batches, most=2 * SLICE):
+            ids, lengths = with_end(*encoder(tokenizer, 2 * WORDS_KEPT).encode(batch.column("text")), end_id)
             ends, docs = np.cumsum(lengths), batch.column("doc_id").to_pylist()
             cuts = np.unique(np.append(np.searchsorted(ends, np.arange(BLOCK_IDS, ends[-1], BLOCK_IDS)) + 1, len(ends))).tolist()
             for a, b in zip([0, *cuts], cuts, strict=False):
@@ -162,8 +147,9 @@ def token_runs(rows: DataFrame, shards: int, vocabulary: int, wide: int) -> Data
         used = np.flatnonzero(total)
         yield row(shard, first, 0, None, None, None, used, total[used])
 
-    dealt = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return mapped(dealt.select("doc_id", "ids"), run, f"{HEAD}, ids binary, counted array<long>, counts array<long>")
+    rows = pick(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(partitions(docs, SHARD_BYTES), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    return mapped(rows.select("doc_id", "text"), run, f"{HEAD}, ids binary, counted array<long>, counts array<long>")
 
 
 def global_counts(runs: DataFrame, vocabulary: int) -> np.ndarray:
@@ -187,13 +173,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, longest:
     Null and empty texts have the end id alone; rows of the same doc_id, and rows without one, which come first, are
     ordered by a hash of their text; repeated rows are written as often as they come; an empty table gives files without
     blocks; other columns, whatever their names, are ignored. A very long text is one block, whose offsets have 64 bits.
-    Texts are encoded where they are: only their ids move.
+    Texts move, not ids: those of a vocabulary of 16 bits are as large as the compressed texts, and would be saved before.
     """
     spark = docs.sparkSession
     vocabulary = max(encoder(tokenizer).vocabulary, end_id + 1)
     wide = 2 if vocabulary <= 1 << 16 else 4
-    rows = saved(encoded(docs, tokenizer, end_id, wide, id_col, text_col), "encoded")
-    runs = saved(token_runs(rows, partitions(docs, SHARD_BYTES), vocabulary, wide), "runs")
+    runs = saved(token_runs(docs, tokenizer, end_id, vocabulary, wide, id_col, text_col), "runs")
     code = Code(code_lengths(global_counts(runs, vocabulary), longest), longest)
     lengths = [(int(i), int(code.lengths[i])) for i in np.flatnonzero(code.lengths)]
     spark.createDataFrame(lengths, "id int, length int").coalesce(1).write.parquet(f"{path}/code")
