@@ -318,7 +318,7 @@ def by_distance(sets: DataFrame, similar: tuple[int, int], size: int) -> tuple[D
     differ little from it are so counted without any pair being compared, and no link is guessed.
     """
     first = sets.groupBy("comp").agg(F.min("cid").alias("cid"))
-    heads = saved(sets.join(F.broadcast(first), ["comp", "cid"]).select("comp", F.col("cid").alias("head"), F.col("grams").alias("head_grams")), "heads")
+    heads = saved(sets.join(F.broadcast(first), ["comp", "cid"]).select("comp", F.col("cid").alias("head"), F.col("grams").alias("head_grams")).dropDuplicates(["comp"]), "heads")
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,7 +330,8 @@ def by_distance(sets: DataFrame, similar: tuple[int, int], size: int) -> tuple[D
                 out.append(STEPS * (union - common) // union)
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("cid", "size", "comp", "head")), pa.array(out, pa.int32())], names=["cid", "size", "comp", "head", "step"])
 
-    told = saved(mapped(sets.join(small(heads), "comp"), steps, "cid long, size long, comp long, head long, step int"), "steps", "lz4")
+    # of repeated rows a set may come more than once
+    told = saved(mapped(sets.join(small(heads), "comp"), steps, "cid long, size long, comp long, head long, step int").distinct(), "steps", "lz4")
     # of each group a row for each step, of which there are STEPS + 1 at most
     each = told.groupBy("comp", "step").agg(F.count("*").alias("n"), F.sum("size").alias("docs"))
     before = F.sum("blocks").over(W.partitionBy("comp").orderBy("step")) - F.col("blocks")
