@@ -46,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
     make.add_argument("folder")
     make.add_argument("seed", type=int, nargs="?", default=42)
     make.add_argument("--max", type=float, dest="most", help="percentage of matches in the first quarter of S")
+    make.add_argument("--parts", action="store_true", help="write folders of raw files, all tasks at once")
     make.add_argument("--verify", action="store_true")
     return out
 
@@ -79,7 +80,8 @@ def generate(spark: SparkSession, args: argparse.Namespace) -> list[tuple[str, D
     r, s = generator.build_relation(spark, *sizes), generator.probe_relation(spark, *sizes, args.most, args.seed)
     mixed = r.orderBy(F.xxhash64("key", F.lit(args.seed)))
     for name, rows, rel in (("R", args.r_rows, mixed), ("S", args.s_rows, s)):
-        raw.write(raw.positioned(rel.select("key")), f"{args.folder}/{generator.file_name(name, rows, args.percent, args.most)}")
+        save = raw.write_parts if args.parts else raw.write
+        save(raw.positioned(rel.select("key")), f"{args.folder}/{generator.file_name(name, rows, args.percent, args.most)}")
     found = match_count(r.withColumn("val", F.lit(0)), s.withColumn("val", F.lit(0)), Strategy.AUTO)
     if args.verify and found.first()["matches"] != generator.matches(*sizes):
         raise SystemExit("the relations match otherwise than told")

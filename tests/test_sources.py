@@ -101,3 +101,12 @@ def test_parts_are_read_in_order(spark, tmp_path, values):
         raw.write_parts(rel, path, values)
     with pytest.raises(Exception, match="1003 rows"):
         raw.read(spark, path, 1004, values).count()
+
+
+def test_generated_parts_are_joined(spark, tmp_path):
+    from millrace.__main__ import main
+
+    main(["generate", "1000", "800", "10", str(tmp_path), "--verify", "--parts"])
+    r, s = (str(tmp_path / generator.file_name(x, n, 10.0)) for x, n in (("R", 1000), ("S", 800)))
+    main(["join", r, s, "--r-rows", "1000", "--s-rows", "800", "--check", "--chunks", "2", "--out", str(tmp_path / "pairs")])
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 100
