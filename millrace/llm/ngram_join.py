@@ -314,7 +314,7 @@ def by_distance(sets: DataFrame, similar: tuple[int, int], size: int) -> tuple[D
 
     One less the Jaccard similarity is a metric. So of a group whose sets are all held against its head, the set with
     the least cid, two are linked for certain if their distances to it add up to no more than a link's, and aren't if
-    they differ by more. Only sets whose steps of distance leave both open meet in blocks. Near copies of one text that
+    they differ by more. Only sets whose distances, in steps, leave both open meet in blocks. Near copies of one text that
     differ little from it are so counted without any pair being compared, and no link is guessed.
     """
     first = sets.groupBy("comp").agg(F.min("cid").alias("cid"))
@@ -332,22 +332,25 @@ def by_distance(sets: DataFrame, similar: tuple[int, int], size: int) -> tuple[D
 
     # of repeated rows a set may come more than once
     told = saved(mapped(sets.join(small(heads), "comp"), steps, "cid long, size long, comp long, head long, step int").distinct(), "steps", "lz4")
-    # of each group a row for each step, of which there are STEPS + 1 at most
+    # of each group a row for each step, of which there are STEPS + 1 at most; neighbouring ones are put together to about a block
     each = told.groupBy("comp", "step").agg(F.count("*").alias("n"), F.sum("size").alias("docs"))
-    before = F.sum("blocks").over(W.partitionBy("comp").orderBy("step")) - F.col("blocks")
-    each = each.withColumn("blocks", F.ceil(F.col("n") / GROUP_BLOCK).cast("int")).withColumn("first", before.cast("int"))
-    plans = saved(each.groupBy("comp").agg(F.collect_list(F.struct("step", "n", "docs", "blocks", "first")).alias("plan")), "plans", "lz4")
+    before = F.sum("n").over(W.partitionBy("comp").orderBy("step")) - F.col("n")
+    bins = each.withColumn("bin", F.floor(before / GROUP_BLOCK)).groupBy("comp", "bin").agg(F.min("step").alias("low"), F.max("step").alias("high"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    bins = bins.withColumn("blocks", F.ceil(F.col("n") / GROUP_BLOCK).cast("int"))
+    bins = bins.withColumn("first", (F.sum("blocks").over(W.partitionBy("comp").orderBy("bin")) - F.col("blocks")).cast("int"))
+    plans = saved(bins.groupBy("comp").agg(F.collect_list(F.struct("low", "high", "n", "docs", "blocks", "first")).alias("plan")), "plans", "lz4")
     link = STEPS * (similar[1] - similar[0])
-    linked = lambda a, b: (a + b + 2) * similar[1] <= link
-    open_ = lambda a, b: ~linked(a, b) & ((F.abs(a - b) - 1) * similar[1] < link)
-    rows = told.join(small(plans), "comp")
-    sure = lambda field: F.aggregate(F.filter("plan", lambda x: linked(x["step"], F.col("step"))), F.lit(0).cast("long"), lambda s, x: s + x[field])
-    own = linked(F.col("step"), F.col("step")).cast("long")
-    counts = rows.select(F.col("cid").alias("u"), F.lit(None).cast("long").alias("v"), (sure("n") - own).alias("classes"), (sure("docs") - own * F.col("size")).alias("docs"))
-    edges = told.where(linked(F.col("step"), F.lit(0)) & (F.col("cid") != F.col("head"))).select(F.col("cid").alias("u"), F.col("head").alias("v"), F.lit(0).cast("long").alias("classes"), F.lit(0).cast("long").alias("docs"))
-    here = F.filter("plan", lambda x: x["step"] == F.col("step"))[0]
-    blocks = F.flatten(F.transform(F.filter("plan", lambda x: open_(x["step"], F.col("step"))), lambda x: F.sequence(x["first"], x["first"] + x["blocks"] - 1)))
-    dealt = rows.select("cid", "comp", "size", (here["first"] + F.pmod(F.xxhash64("comp", "cid"), here["blocks"])).cast("int").alias("own"), F.explode(blocks).alias("other"))
+    linked = lambda a, b: (a["high"] + b["high"] + 2) * similar[1] <= link
+    open_ = lambda a, b: ~linked(a, b) & ((F.greatest(a["low"] - b["high"], b["low"] - a["high"]) - 1) * similar[1] < link)
+    rows = told.join(small(plans), "comp").withColumn("mine", F.filter("plan", lambda x: F.col("step").between(x["low"], x["high"]))[0])
+    own = F.col("mine")
+    sure = lambda field: F.aggregate(F.filter("plan", lambda x: linked(x, own)), F.lit(0).cast("long"), lambda s, x: s + x[field])
+    self_ = linked(own, own).cast("long")
+    counts = rows.select(F.col("cid").alias("u"), F.lit(None).cast("long").alias("v"), (sure("n") - self_).alias("classes"), (sure("docs") - self_ * F.col("size")).alias("docs"))
+    to_head = ((F.col("step") + 2) * similar[1] <= link) & (F.col("cid") != F.col("head"))
+    edges = told.where(to_head).select(F.col("cid").alias("u"), F.col("head").alias("v"), F.lit(0).cast("long").alias("classes"), F.lit(0).cast("long").alias("docs"))
+    blocks = F.flatten(F.transform(F.filter("plan", lambda x: open_(x, own)), lambda x: F.sequence(x["first"], x["first"] + x["blocks"] - 1)))
+    dealt = rows.select("cid", "comp", "size", (own["first"] + F.pmod(F.xxhash64("comp", "cid"), own["blocks"])).cast("int").alias("own"), F.explode(blocks).alias("other"))
     dealt = dealt.select("cid", "comp", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     rest = dealt.join(sets.select("cid", "grams"), "cid")
     return counts.unionByName(edges), rest.repartition(size, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
