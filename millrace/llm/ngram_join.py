@@ -317,8 +317,8 @@ def by_distance(sets: DataFrame, similar: tuple[int, int], size: int) -> tuple[D
     they differ by more. Only sets whose distances, in steps, leave both open meet in blocks. Near copies of one text that
     differ little from it are so counted without any pair being compared, and no link is guessed.
     """
-    first = sets.groupBy("comp").agg(F.min("cid").alias("cid"))
-    heads = saved(sets.join(F.broadcast(first), ["comp", "cid"]).select("comp", F.col("cid").alias("head"), F.col("grams").alias("head_grams")).dropDuplicates(["comp"]), "heads")
+    first = saved(sets.groupBy("comp").agg(F.min("cid").alias("cid")), "firsts", "lz4")
+    heads = saved(sets.join(small(first), ["comp", "cid"]).select("comp", F.col("cid").alias("head"), F.col("grams").alias("head_grams")).dropDuplicates(["comp"]), "heads")
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
